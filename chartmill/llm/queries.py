@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, sentencepiece_bpe, simhash
+from . import chat_format, language_id, sentencepiece_bpe, simhash
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,12 +24,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_format, op6_sentencepiece, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op5_chat_format, op6_sentencepiece, op8_language_id, op9_simhash)}
 
 ORACLES = {
     "op5_chat_format": r"""

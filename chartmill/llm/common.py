@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +44,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def blocks(texts: list[str | None], chars: int):
+    """Runs of texts of about so many characters; a longer text is a run of its own."""
+    at, total = 0, 0
+    for k, text in enumerate(texts):
+        total += len(text or "")
+        if total >= chars:
+            yield texts[at : k + 1]
+            at, total = k + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def sql_words(text: str) -> str:
     """DuckDB expression for the words of a text expression."""
     return rf"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
-
-LETTER = re.compile(r"[^\W\d_]")

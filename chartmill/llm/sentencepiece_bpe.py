@@ -22,10 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks
+
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 #: Words kept per Python worker; the store is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Characters of text whose words are held at once.
+BLOCK_CHARS = 1_000_000
 
 
 class Bpe:
@@ -150,6 +154,12 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, with the begin and end ids."""
+        out: list[bytes] = []
+        for part in blocks(texts, BLOCK_CHARS):
+            out += self._encode_block(part)
+        return out
+
+    def _encode_block(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
         cache, cut = self.cache, _WORD.findall

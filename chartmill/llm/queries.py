@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, sentencepiece_bpe, simhash
+from . import chat_format, fertility, html_text, language_id, sentencepiece_bpe, simhash
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), public_tokenizers.path(BYTE_RANKS))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_format, op6_sentencepiece, op8_language_id, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash)}
 
 ORACLES = {
     "op5_chat_format": r"""

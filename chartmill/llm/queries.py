@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fertility, html_text, language_id, sentencepiece_bpe, sharding, simhash
+from . import chat_format, fertility, html_text, language_id, sentencepiece_bpe, sharding, simhash, substring
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -17,6 +17,10 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), public_tokenizers.path(BYTE_RANKS))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash)}
 
 ORACLES = {
     "op5_chat_format": r"""

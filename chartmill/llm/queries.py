@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fertility, html_text, language_id, sentencepiece_bpe, sharding, simhash, substring
+from . import chat_format, decontamination, fertility, html_text, language_id, sentencepiece_bpe, sharding, simhash, substring
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -50,7 +50,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination)}
 
 ORACLES = {
     "op5_chat_format": r"""
@@ -70,4 +75,27 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(r) + length(t) + length('<turn role="">') + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id""",
+    "op2_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM (SELECT r, words, unnest(generate_series(1, len(words) - 34)) AS i FROM d WHERE len(words) > 34)),
+starts AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM starts),
+kept AS (SELECT x.r, string_agg(x.w, ' ' ORDER BY x.p) AS t, count(*) AS n FROM (SELECT r, unnest(words) AS w, unnest(generate_series(1, len(words))) AS p FROM d) x ANTI JOIN gone g ON x.r = g.r AND x.p = g.p GROUP BY x.r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.r = k.r""",
+    "op10_decontamination": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM documents),
+items AS (SELECT w, min(item_id) AS item_id FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) >= 8 GROUP BY w),
+places AS (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS j, least(len(w), 13) AS n FROM items),
+item_words AS (SELECT item_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM items),
+doc_words AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM docs),
+pairs AS (SELECT d.r, i.item_id, d.p - i.j AS off, i.j FROM doc_words d JOIN item_words i ON d.word = i.word),
+diagonals AS (SELECT r, item_id, off, list_sort(list(j)) AS js FROM pairs GROUP BY r, item_id, off HAVING count(*) >= 8),
+aligned AS (
+  SELECT g.r, g.item_id, p.n, len(list_filter(g.js, x -> x >= p.j AND x < p.j + p.n)) AS same
+  FROM diagonals g JOIN places p ON g.item_id = p.item_id),
+found AS (SELECT r, item_id, max(same) AS same FROM aligned WHERE same >= CASE WHEN n < 13 THEN n ELSE 11 END GROUP BY r, item_id),
+by_doc AS (SELECT r, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(same) AS overlap FROM found GROUP BY r)
+SELECT d.doc_id, b.r IS NOT NULL AS contaminated, coalesce(b.items, '') AS items, CAST(coalesce(b.overlap, 0) AS INTEGER) AS overlap
+FROM docs d LEFT JOIN by_doc b ON d.r = b.r""",
 }

@@ -84,15 +84,15 @@ kept AS (SELECT x.r, string_agg(x.w, ' ' ORDER BY x.p) AS t, count(*) AS n FROM
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.r = k.r""",
     "op10_decontamination": r"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM documents),
-items AS (SELECT w, min(item_id) AS item_id FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM benchmark) WHERE len(w) >= 8 GROUP BY w),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT w, min(item_id) AS item_id FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 8 GROUP BY w),
 places AS (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS j, least(len(w), 13) AS n FROM items),
 item_words AS (SELECT item_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM items),
 doc_words AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM docs),
 pairs AS (SELECT d.r, i.item_id, d.p - i.j AS off, i.j FROM doc_words d JOIN item_words i ON d.word = i.word),
 diagonals AS (SELECT r, item_id, off, list_sort(list(j)) AS js FROM pairs GROUP BY r, item_id, off HAVING count(*) >= 8),
 aligned AS (
-  SELECT g.r, g.item_id, p.n, len(list_filter(g.js, x -> x >= p.j AND x < p.j + p.n)) AS same
+  SELECT g.r, g.item_id, p.n, len(list_filter(g.js, lambda x: x >= p.j AND x < p.j + p.n)) AS same
   FROM diagonals g JOIN places p ON g.item_id = p.item_id),
 found AS (SELECT r, item_id, max(same) AS same FROM aligned WHERE same >= CASE WHEN n < 13 THEN n ELSE 11 END GROUP BY r, item_id),
 by_doc AS (SELECT r, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(same) AS overlap FROM found GROUP BY r)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fertility, html_text, language_id, sentencepiece_bpe, sharding, simhash, substring
+from . import chat_format, decontamination, fertility, html_text, language_id, language_model, sentencepiece_bpe, sharding, simhash, substring
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -21,6 +21,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.array_join("items", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op3_language_model, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination)}
 
 ORACLES = {
     "op5_chat_format": r"""

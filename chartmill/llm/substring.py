@@ -133,14 +133,14 @@ def _candidates(text: str, seeds: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 
 def _windows(marked: DataFrame, size: int) -> DataFrame:
-    """(w, k, start) of each window that may be repeated."""
+    """(w, k) of each window that may be repeated."""
 
     def run(batches):
         for pdf in batches:
             held, rows = [], 0
             for k, text, seeds in zip(pdf["k"], pdf["text"], pdf["seeds"], strict=True):
                 starts, h = _candidates(text, np.asarray(seeds, np.int64).view(np.uint64), size)
-                held.append(pd.DataFrame({"w": _sequences(h, size)[starts].view(np.int64), "k": k, "start": starts.astype(np.int32)}))
+                held.append(pd.DataFrame({"w": _sequences(h, size)[starts].view(np.int64), "k": k}))
                 rows += len(starts)
                 if rows > 200_000:
                     yield pd.concat(held)
@@ -148,7 +148,7 @@ def _windows(marked: DataFrame, size: int) -> DataFrame:
             if held:
                 yield pd.concat(held)
 
-    return marked.select("k", "text", "seeds").mapInPandas(run, "w long, k long, start int")
+    return marked.select("k", "text", "seeds").mapInPandas(run, "w long, k long")
 
 
 def _runs(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -168,11 +168,12 @@ def _passages(rows: DataFrame, size: int) -> DataFrame:
             out, total = [], 0
             for k, text, seeds, reps, routes in zip(pdf["k"], pdf["text"], pdf["seeds"], pdf["reps"], pdf["routes"], strict=True):
                 words = text.encode().split()
+                starts, h = _candidates(text, np.asarray(seeds, np.int64).view(np.uint64), size)
                 if reps is not None:
-                    for a, b in _runs(np.unique(reps["starts"]), size):
+                    own = np.isin(_sequences(h, size)[starts].view(np.int64), np.asarray(reps["own"], np.int64))
+                    for a, b in _runs(starts[own], size):
                         out.append((int(reps["shard"]), int(reps["salts"]), 0, k, a, b" ".join(words[a:b]).decode()))
                 if routes is not None:
-                    starts, _ = _candidates(text, np.asarray(seeds, np.int64).view(np.uint64), size)
                     pieces = [(a, b" ".join(words[a:b]).decode()) for a, b in _runs(starts, size)]
                     for route in routes:
                         out += [(int(route["shard"]), int(route["salt"]), 1, k, a, piece) for a, piece in pieces]
@@ -216,8 +217,7 @@ def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS
     marked = kept.where("seeds is not null")
 
     windows = _windows(marked, size)
-    repeated = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("k", "start")).alias("at")).where("n > 1")
-    repeated = written(repeated.select("w", "at.k", "at.start"))
+    repeated = written(windows.groupBy("w").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n > 1").select("w", "k"))
     release(spark)
     shards = max(1, -(-repeated.count() // shard_words))
     shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")
@@ -226,8 +226,8 @@ def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS
     salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("salts"))
     salted = routes.join(salts, "shard").select("k", F.struct("shard", F.pmod(F.xxhash64("k", F.lit("salt")), "salts").cast("int").alias("salt")).alias("route"))
     routed = salted.groupBy("k").agg(F.collect_list("route").alias("routes"))
-    reps = repeated.groupBy("k").agg(F.collect_list("start").alias("starts")).withColumn("shard", shard).join(salts, "shard")
-    reps = reps.select("k", F.struct("starts", "shard", "salts").alias("reps"))
+    reps = repeated.groupBy("k").agg(F.collect_list("w").alias("own")).withColumn("shard", shard).join(salts, "shard")
+    reps = reps.select("k", F.struct("own", "shard", "salts").alias("reps"))
     needed = marked.select("k", "text", "seeds").join(reps, "k", "left").join(routed, "k", "left").where("reps is not null or routes is not null")
     passages = _passages(needed, size)
     spread = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salt") - 1)).otherwise(F.array("salt"))  # the reference goes to all tasks of its shard

@@ -34,7 +34,7 @@ from .common import release, words_of, written
 
 SEED = 8  # words of a seed
 #: Words of a reference shard, about, and documents that one task streams for a shard.
-SHARD_WORDS, STREAM_ROWS = 150_000, 1500
+SHARD_WORDS, STREAM_ROWS = 150_000, 6000
 #: Words that are hashed at once.
 BLOCK_WORDS = 200_000
 _M = 0x9E3779B97F4A7C15

@@ -232,7 +232,8 @@ def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS
     passages = _passages(needed, size)
     spread = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salt") - 1)).otherwise(F.array("salt"))  # the reference goes to all tasks of its shard
     dealt = passages.select("shard", F.explode(spread).alias("salt"), "role", "k", "at", "words")
-    found = _held_against(dealt, size).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans"))
+    found = written(_held_against(dealt, size).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans")))
+    release(spark)
     none = F.lit(None).cast("array<struct<first:int,after:int>>").alias("spans")
     return marked.join(found, "k", "left").select("rest", "text", "spans").unionByName(kept.where("seeds is null").select("rest", "text", none))
 

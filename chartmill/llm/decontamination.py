@@ -57,10 +57,11 @@ def seeds(rows: DataFrame, masks: list[tuple[int, ...]], *carried: str) -> DataF
     return flat.select(*carried, "seed", place.alias("at"))
 
 
-def equal_sums(doc: Column, item: Column, offset: Column) -> Column:
-    """Running counts of the item's words that the document has at the same place."""
-    equal = F.transform(item, lambda w, j: F.when((j + offset >= 0) & (F.get(doc, j + offset) == w), 1).otherwise(0))
-    return F.aggregate(equal, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def equal_words(doc: Column, item: Column, offset: Column) -> Column:
+    """For each word of the item 1 if the document has it at the same place, else 0. ``doc`` and ``item`` are evaluated once."""
+    before = F.array_repeat(F.lit(None).cast("long"), F.greatest(-offset, F.lit(0)))
+    beside = F.slice(doc, F.greatest(offset, F.lit(0)) + 1, F.size(item))
+    return F.slice(F.zip_with(item, F.concat(before, beside), lambda w, d: F.when(w == d, 1).otherwise(0)), F.lit(1), F.size(item))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
@@ -86,12 +87,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH,
         return spark.createDataFrame([], "k long, items array<long>, overlap int")
     beside = hits.join(items.withColumnRenamed("hashes", "item"), "item_id")
     narrow = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("string").alias("text")).join(beside, "k")
-    compared = narrow.withColumn("doc", word_hashes(F.col("text")))
-    sums = equal_sums(F.col("doc"), F.col("item"), F.col("off"))
-    compared = compared.select("k", "item_id", sums.alias("sums"), F.least(F.size("item"), F.lit(stretch)).alias("width"))
-    most = F.array_max(F.transform(F.sequence(F.col("width"), F.size("sums") - 1), lambda j: F.get("sums", j) - F.get("sums", j - F.col("width"))))
-    whole = F.col("width") < stretch
-    found = compared.select("k", "item_id", most.alias("most"), F.when(whole, F.col("width")).otherwise(F.lit(least)).alias("need"))
+    equal = equal_words(word_hashes(F.col("text")), F.col("item"), F.col("off"))
+    compared = written(narrow.select("k", "item_id", equal.alias("equal")))  # a few numbers for each hit
+    width = F.least(F.size("equal"), F.lit(stretch))
+    same = lambda j: F.aggregate(F.slice("equal", j, width), F.lit(0), lambda s, x: s + x)
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), same))
+    found = compared.select("k", "item_id", most.alias("most"), F.when(width < stretch, width).otherwise(F.lit(least)).alias("need"))
     return found.where("most >= need").groupBy("k").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("most").cast("int").alias("overlap"))
 
 

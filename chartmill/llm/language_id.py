@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,3 +258,15 @@ def identify_held_out(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: dict, share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose main language has at least ``share`` of their letters; columns unchanged."""
+
+    def run(batches):
+        labeller = Labeller(model)
+        for batch in batches:
+            found = labeller.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([f[0] != UNKNOWN and f[1] >= share for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

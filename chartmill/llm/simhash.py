@@ -54,14 +54,19 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and ``fp`` (signed) of each row."""
+    """doc_id, ``fp`` (signed) and the key of each row."""
 
     def run(batches):
         for pdf in batches:
             values = [fingerprint(t if isinstance(t, str) else None, size) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(values, np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(values, np.uint64).view(np.int64), "k": pdf["k"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k")).mapInPandas(run, "doc_id long, fp long, k long")
+
+
+def row_key():
+    """64 bits that stand for a row's doc_id and text."""
+    return F.xxhash64("doc_id", "text")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -191,12 +196,26 @@ def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """Per row: doc_id, fp, component_id."""
+def labelled(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp, k) of all rows, and (fp, root, component_id) of the distinct fingerprints."""
     prints = durable(fingerprints(docs, size))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     members = connected_components(link_edges(nodes.select("fp"), radius))
     rooted = nodes.join(members, nodes["fp"] == members["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(ids, "root").select("fp", "component_id")
+    return prints, rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
+    """Per row: doc_id, fp, component_id."""
+    prints, labels = labelled(docs, radius, size)
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
+    """One row of each component: that of the smallest doc_id, nulls last, and of its repeated rows any one. Columns unchanged."""
+    prints, labels = labelled(docs, radius, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")
+    chosen = prints.join(labels, "fp").groupBy("root").agg(first).select(F.col("first.k").alias("k"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("k"))
+    return rows.join(chosen, "k").dropDuplicates(["k"]).select("row.*")

@@ -1,17 +1,13 @@
-"""Query catalogue over the analytic tables, one module per family."""
+"""Query catalogue over the analytic tables, one module per family; each has ``QUERIES`` and ``ORACLES``."""
 
 from __future__ import annotations
 
+from . import charts, corpus, profiles, retrieval, runs
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _family in (charts, profiles, retrieval, corpus, runs):
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
 
-
-def flagship(spark, sf_dir):
-    """Monthly mean of the extended price by return flag."""
-    from pyspark.sql import functions as F
-
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy(F.date_trunc("month", "l_shipdate").alias("yearmonth_l_shipdate"), "l_returnflag")
-        .agg(F.avg("l_extendedprice").alias("mean_l_extendedprice"))
-    )
+flagship = charts.QUERIES["vl_month_mean_by_flag"]

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -16,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """The schema of ``df`` and further columns; ``df.schema`` itself stays as it is."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in more:
+        schema = schema.add(name, kind)
+    return schema
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words as UTF-8; ``bytes.split`` breaks at exactly the six characters of :data:`WORD_BREAK`."""
     return text.encode().split() if text else []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, schema_with
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams.
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             found = labeller.predict([t if isinstance(t, str) else None for t in pdf[text]])
             yield pdf.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found], spans=[[{"lang": a, "words": b} for a, b in f[2]] for f in found])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("spans", "array<struct<lang:string,words:long>>")
+    schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"), ("spans", "array<struct<lang:string,words:long>>"))
     return docs.mapInPandas(run, schema)
 
 

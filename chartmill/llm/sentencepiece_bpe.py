@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, schema_with
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
@@ -200,7 +200,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = bpe.encode([t if isinstance(t, str) else None for t in pdf[text]])
             yield pdf.assign(token_ids=ids, decoded=[bpe.decode(i) for i in ids])
 
-    schema = docs.schema.add("token_ids", "binary").add("decoded", "string")
+    schema = schema_with(docs, ("token_ids", "binary"), ("decoded", "string"))
     return docs.mapInPandas(run, schema)
 
 

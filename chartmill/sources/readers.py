@@ -48,7 +48,10 @@ def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataF
         df = spark.read.parquet(path)
     elif suffix in ("csv", "txt"):
         names = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "latin1": "ISO-8859-1"}
-        df = spark.read.csv(path, header=True, inferSchema=True, encoding=names[encoding_of(spark, path)])
+        found = names[encoding_of(spark, path)]
+        if found == "windows-1251":  # beyond the charsets that Spark takes unless told
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        df = spark.read.csv(path, header=True, inferSchema=True, encoding=found)
         df = df.toDF(*(c.removeprefix("﻿") for c in df.columns))
     elif suffix in ("jsonl", "ndjson"):
         df = spark.read.json(path, mode="FAILFAST")

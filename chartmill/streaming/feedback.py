@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and sum of ``value`` by window and key; works on streams and on tables."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 

@@ -106,11 +106,10 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
     def run(batches):
         pieces, bytewise = piece_model(piece_path), byte_level(byte_path)
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                text = text if isinstance(text, str) else ""
+            rows, texts = [], [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for text, encoded in zip(texts, pieces.encode(texts), strict=True):  # the new words of many texts in one go
                 words, chars, symbols, lines, repeats = base_figures(text)
-                ids = np.frombuffer(pieces.encode([text])[0], "<u4")[1:-1]
+                ids = np.frombuffer(encoded, "<u4")[1:-1]
                 n = len(ids)
                 if n:
                     counts = np.bincount(ids)

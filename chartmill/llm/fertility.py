@@ -56,7 +56,7 @@ class ByteLevel:
         cache, encode = self.cache, self.encoding.encode_ordinary
         if len(cache) > 250_000:
             cache.clear()
-        for w in set(words) - cache.keys():
+        for w in {w for w in words if w not in cache}:  # a difference with the keys would walk the whole cache
             cache[w] = len(encode(" " + w.decode()))
         return sum(map(cache.__getitem__, words))
 

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartmill.llm import decontamination, language_id, sentencepiece_bpe, simhash, substring
+from chartmill.llm import decontamination, language_id, near_copies, sentencepiece_bpe, substring
 from chartmill.llm.common import table, written
 
 #: Share of a text's letters that its main language must have.
@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays."""
-    return simhash.keep_one_each(docs)
+    """Of each group of near-duplicates (five-word shingles, exact Jaccard similarity of 0.8 and more) the document of the smallest doc_id stays."""
+    return near_copies.keep_one_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,6 +300,34 @@ def test_language_accuracy(spark, odd, empty):
     assert language_id.identify_held_out(empty).count() == 0
 
 
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    line = "one line that is in very many of the texts of this table".split()
+    rows = []
+    for _ in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 3000, 120)] + line
+        for edits in (0, 1, 2, 3, 6):
+            text = list(base)
+            for at in rng.choice(120, edits, replace=False):
+                text[at] = f"E{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(text), "en", "s", 0))
+    for k in range(60):  # near copies of one text, more than a pair of leaders connects
+        text = [f"v{i}" for i in range(100)]
+        text[k] = f"new{k}"
+        rows.append((len(rows), " ".join(text), "en", "s", 0))
+    rows += [(len(rows), None, "en", "s", 0), (len(rows) + 1, "", "en", "s", 0), (len(rows) + 2, "Two words", "en", "s", 0), (len(rows) + 3, "two WORDS", "en", "s", 0)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in ((r[1] or "").lower().split() for r in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 

@@ -2,8 +2,8 @@
 
 1. Token counts over all training rows (sums before the shuffle); words are carried as 64-bit hashes.
 2. The most frequent ``LISTED`` words, a fixed bound, go to every task; see :mod:`.gru` for the model.
-3. Training: every task runs truncated backpropagation over a fixed share of the training rows (``SHARE``, drawn by a hash), starting
-   from the common parameters; the tasks' parameters, weighted by their tokens, are averaged in two levels. ``ROUNDS`` rounds use disjoint rows.
+3. Training: every task runs truncated backpropagation over its training rows, starting from the common parameters; the tasks' parameters,
+   weighted by their tokens, are averaged in two levels. ``ROUNDS`` rounds use disjoint rows (dealt by a hash) and together all training rows.
 4. Scoring: all rows, with the state carried from the first to the last token. Words beyond the list are joined with the corpus
    counts, so every word's probability rests on its count over the whole corpus.
 
@@ -27,7 +27,7 @@ from .language_id import remainder
 from .substring import hashes_of
 
 LISTED = 65_536
-SHARE, ROUNDS = 8, 2
+ROUNDS = 2
 #: Characters whose words are hashed at once; parameters of a chunk in the averaging; tasks averaged at the first level.
 BLOCK_CHARS, CHUNK, FAN_IN = 1_000_000, 16_384, 32
 END = b""
@@ -61,10 +61,14 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def round_of():
+    """The round in which a row is learned; copies of a text under other ids are dealt apart."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(ROUNDS))
+
+
 def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds of averaged local training."""
     flat = Gru(words).flat
-    draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("draw")), F.lit(SHARE * ROUNDS))
     for k in range(ROUNDS):
         now = flat
 
@@ -85,7 +89,7 @@ def train(rows: DataFrame, words: Vocabulary) -> np.ndarray:
             return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "task": 0, "weight": weight, "part": [(total / weight).astype(np.float32).tobytes()]})
 
         schema = "chunk int, task int, weight double, part binary"
-        local = rows.where(draw == k).select("text").mapInPandas(run, schema)
+        local = rows.where(round_of() == k).select("text").mapInPandas(run, schema)
         means = local.groupBy("chunk", "task").applyInPandas(mean, schema).groupBy("chunk").applyInPandas(mean, schema)
         got = {r["chunk"]: np.frombuffer(bytes(r["part"]), np.float32) for r in means.collect()}  # the parameters, of a fixed size
         if got:

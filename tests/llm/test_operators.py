@@ -209,6 +209,27 @@ def test_language_model_learns_and_sums_to_one(empty):
     assert np.isclose(model.score([whole])[0], model.score([whole, texts[2]])[0], rtol=1e-4)
 
 
+def test_language_model_trains_on_every_row(spark):
+    """Each training row is in just one of the rounds, and the copies of a text aren't all in the same one."""
+    seen = []
+
+    class Rows:
+        def __init__(self, df):
+            self.df = df
+
+        def where(self, condition):
+            seen.append(sorted(r[0] for r in self.df.where(condition).select("n").collect()))
+            return self.df.limit(0)
+
+    texts = [f"text {i}" for i in range(40)] + ["copy"] * 20 + [None]
+    df = spark.createDataFrame([(i if i else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n long")
+    from chartmill.llm.gru import Shape, Vocabulary
+
+    language_model.train(Rows(df), Vocabulary(np.arange(3, dtype=np.uint64), np.ones(3), 1.0, Shape()))
+    assert sorted(sum(seen, [])) == list(range(61))
+    assert all(any(40 <= n < 60 for n in part) for part in seen)
+
+
 def test_gradients():
     from chartmill.llm.gru import Gru, Shape, Vocabulary
 

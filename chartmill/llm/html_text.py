@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _MARK = re.compile(r"[.,;:!?…。，、！？؟।]")
 
@@ -66,9 +68,18 @@ class Block:
         self.parts: list[str] = []
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element isn't shown: by the attribute hidden, aria-hidden="true", or display:none in its style."""
+    for name, *values in _NAMED.findall(attributes):
+        name, value = name.lower(), next((v for v in values if v), "").strip()
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def announces_aside(tag: str, attributes: str, stack: list) -> bool:
     """Whether an element says of itself that it isn't part of the article."""
-    if tag in ASIDE_TAGS or attributes and _HIDDEN.search(attributes):
+    if tag in ASIDE_TAGS or attributes and _HIDDEN.search(attributes) and hides(attributes):
         return True
     if tag == "header":
         return not any(e[0] in ("article", "main") for e in stack)

@@ -312,6 +312,14 @@ def test_html(spark):
     assert got[1].split("\n\n") == ["Head & line", *(f"Sentence number {i}, which is long enough to be read. It has marks, too." for i in range(6))] and got[2] == got[3] == ""
 
 
+def test_html_hidden_is_an_attribute():
+    article = "".join(f"<p>Sentence number {i}, which is long enough to be read. It has marks, too.</p>" for i in range(4))
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'hidden="until-found"', "data-note='display:none'"):
+        assert html_text.main_text(f"<body {shown}><article {shown}>{article}</article></body>").count("Sentence") == 4, shown
+    for gone in ("hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display: none"'):
+        assert "secret" not in html_text.main_text(f"<body><article>{article}<div {gone}><p>The secret sentence, long enough to be read.</p></div></article></body>"), gone
+
+
 def test_language_accuracy(spark, odd, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     both = language_id.identify_held_out(df).join(df.select("doc_id", "lang", "text"), "doc_id").where("held_out and length(text) > 40").collect()

@@ -43,18 +43,24 @@ def noise_reason(text: Column, least_chars: int, low_value: list[str]) -> Column
     )
 
 
-def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.95, guard: int = 1200) -> DataFrame:
+def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.95, block: int = 1200) -> DataFrame:
     """Greedy leaders by key in each group: a row within the threshold of an earlier leader is its duplicate.
 
-    Groups beyond ``guard`` rows pass untouched, which also bounds what a task holds.
+    Groups beyond ``block`` rows are cut into about as large blocks by key. Block after block finds its own leaders, and the later rows of the group are
+    compared with these in salted parts, so the result is that of the whole group and a task holds a block and a part.
     """
     import numpy as np
     import pandas as pd
 
+    from chartmill.llm.common import written
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        v = np.array(pdf["_v"].tolist(), np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_key")
-        v = np.array(pdf["_v"].tolist(), np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = unit(pdf)
         leaders: list[int] = []
         of = []
         for i in range(len(v)):
@@ -64,7 +70,37 @@ def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold:
                 leaders.append(i)
         return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "duplicate_of": pd.array(of, "Int64")})
 
+    def follow(rest: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        of: list = [None] * len(rest)
+        if len(rest) and len(leaders):
+            leaders = leaders.sort_values("_key")
+            heads, keys = unit(leaders), leaders["_key"].to_numpy()
+            for i, v in enumerate(unit(rest)):
+                near = np.flatnonzero(heads @ v >= threshold)
+                of[i] = keys[near[0]] if len(near) else None
+        return rest.assign(duplicate_of=pd.array(of, "Int64"))
+
     rows = df.select(F.col(group).alias("_g"), F.col(key).cast("long").alias("_key"), F.col(vector).alias("_v"))
-    small = rows.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") <= guard).select("_g")
-    found = rows.join(small, "_g").groupBy("_g").applyInPandas(lead, "_key long, duplicate_of long")
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n"))
+    found = rows.join(sizes.where(F.col("n") <= block).select("_g"), "_g").groupBy("_g").applyInPandas(lead, "_key long, duplicate_of long")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most > block:
+        n_blocks = -(-most // block)
+        cuts = F.percentile_approx("_key", [i / n_blocks for i in range(1, n_blocks)], 100_000).alias("cuts")
+        large = sizes.where(F.col("n") > block)
+        cut = rows.join(large, "_g").groupBy("_g").agg(cuts, F.count("*").alias("n"))
+        before = F.when(F.col("_key").isNull(), n_blocks - 1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("_key"))))
+        salt = F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / (4 * block)))
+        rest = written(rows.join(cut, "_g").select("_g", "_key", "_v", before.alias("_b"), salt.alias("_s"), "n"))
+        schema = "_g {}, _key long, _v {}, _b int, _s long, n long, duplicate_of long".format(*(rest.schema[c].dataType.simpleString() for c in ("_g", "_v")))
+        for b in range(n_blocks):
+            own = rest.where(F.col("_b") == b)
+            led = written(own.groupBy("_g").applyInPandas(lead, "_key long, duplicate_of long"))
+            found = found.unionByName(led)
+            heads = own.join(led.where("duplicate_of is null").select("_key"), "_key")
+            parts = heads.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / (4 * block)) - 1)))
+            later = rest.where(F.col("_b") > b).groupBy("_g", "_s").cogroup(parts.toDF(*parts.columns).groupBy("_g", "_s"))
+            after = written(later.applyInPandas(follow, schema))
+            found = found.unionByName(after.where("duplicate_of is not null").select("_key", "duplicate_of"))
+            rest = after.where("duplicate_of is null").drop("duplicate_of")
     return df.join(found, df[key] == found["_key"], "left").drop("_key")

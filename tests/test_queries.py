@@ -1,6 +1,7 @@
 """Every query over the analytic tables equals its SQL on the smallest data."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from chartmill.queries import ORACLES, QUERIES
@@ -58,6 +59,26 @@ def test_vector_leaders_against_brute_force(spark):
     assert got == want
 
 
+def test_vector_leaders_of_large_groups(spark):
+    from chartmill.operators.corpus import vector_leaders
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(700, 8))
+    rows = [(i, int(i % 10 == 0), (base[rng.integers(700)] + rng.normal(size=8) * 0.02).tolist()) for i in rng.permutation(3000).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {r["vec_id"]: r["duplicate_of"] for r in vector_leaders(df, "label", "vec_id", "embedding").collect()}
+    want, leaders = {}, {0: ([], []), 1: ([], [])}
+    for i, g, v in sorted(rows):
+        keys, units = leaders[g]
+        v = np.array(v) / np.linalg.norm(v)
+        near = np.flatnonzero(np.array(units) @ v >= 0.95) if keys else []
+        want[i] = keys[near[0]] if len(near) else None
+        if not len(near):
+            keys.append(i)
+            units.append(v)
+    assert got == want and sum(x is not None for x in want.values()) > 1500
+
+
 def test_readers(spark, tmp_path):
     from chartmill.sources.readers import TableReadError, encoding_of, read_container, read_lenient_lines, read_table, write_lines
 

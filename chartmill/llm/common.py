@@ -67,6 +67,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that :func:`written` made and nothing reads any more: an overwrite without rows, which works in any store Spark writes to."""
+    for df in tables:
+        folder = df.inputFiles()
+        if folder:
+            df.limit(0).write.mode("overwrite").parquet(folder[0].rsplit("/", 1)[0])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished phases; it does so once the driver has collected their handles."""
     gc.collect()

@@ -6,16 +6,20 @@ word under such a window goes. The reference that documents are held against is
 1. Seeds. A document's seeds are the least hashes of its 8-word sequences in each window, so equal windows have equal seeds. Seeds
    are counted over the corpus; only windows with a seed that occurs twice can be repeated.
 2. Reference. The windows that are left are counted by hash with sums before the shuffle. Of a repeated window the first document (by
-   row key) gives the words; its runs of such windows are passages. They are dealt into shards of about ``shard_words`` words.
-3. Streaming. A suffix automaton of a shard is sent to every task that streams documents for it (only documents with one of
-   the shard's windows); the automaton's size is bounded by the shard's, and a shard that many documents need is streamed in many tasks.
-   Matching statistics of at least ``size`` words mark the maximal spans that go.
+   row key) gives the words; its runs of such windows, cut into pieces of at most ``PIECE`` words that overlap by a window less one
+   word, are the passages. Pieces are dealt by hash into shards of about ``shard_words`` words.
+3. Streaming. A shard's passages go to every task that streams documents for it (only documents with one of the shard's windows),
+   and the task builds the shard's suffix automaton. Rows arrive sorted, the reference first, and the documents pass by in batches,
+   so a task holds one automaton and one batch whatever the number of documents; a shard that many documents need is streamed in
+   many tasks. Matching statistics of at least ``size`` words mark the maximal spans that go.
 
 Nothing is paired within a group of copies: seeds, windows and spans are grouped by sums, and joins have one row on one side.
 
 Defined cases: a null text has no words; texts shorter than the window keep everything; repeated rows (and rows that repeat only the text) are
 occurrences of their own, so both lose the passage; a null doc_id is a document like any other; an empty table gives no rows; extra columns
-are carried by :func:`remove_repeats` under their names. Rows are told apart by a 64-bit hash of doc_id and text, windows by a 64-bit hash of the words.
+are carried by :func:`remove_repeats` and :func:`cut_repeats` under their names, but columns of the names that :func:`remove_repeats` adds
+are replaced. Spans are told apart by 128 bits of doc_id and text, windows by a 64-bit hash of the words (a collision of windows can only
+send a document to a shard that doesn't match it: what goes is settled by the automaton).
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import release, words_of, written
+from .common import discard, release, words_of, written
 
 SEED = 8  # words of a seed
-#: Words of a reference shard, about, and documents that one task streams for a shard.
-SHARD_WORDS, STREAM_ROWS = 150_000, 6000
-#: Words that are hashed at once.
-BLOCK_WORDS = 200_000
+#: Words of a reference shard, about, and repeated words that one task streams for a shard.
+SHARD_WORDS, STREAM_WORDS = 60_000, 600_000
+#: Most words of a passage's piece; words that are hashed at once; rows that a task gathers before it hands them on.
+PIECE, BLOCK_WORDS, OUT_ROWS = 1024, 200_000, 200_000
 _M = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,144 +102,189 @@ def _hashed(texts: list[str | None], size: int):
         held.append((k, len(own)))
         words += own
         if len(words) >= BLOCK_WORDS:
-            yield from _cut(held, words)
+            yield from _cut_hashes(held, words)
             held, words = [], []
-    yield from _cut(held, words)
+    yield from _cut_hashes(held, words)
 
 
-def _cut(held, words):
+def _cut_hashes(held, words):
     h, at = hashes_of(words), 0
     for k, n in held:
         yield k, h[at : at + n]
         at += n
 
 
+def _gathered(parts, rows: int):
+    """Frames of about ``rows`` rows from a stream of columns of equal lengths."""
+    held: dict[str, list] = {}
+    total = 0
+    for part in parts:
+        for name, values in part.items():
+            held.setdefault(name, []).append(values)
+        total += len(next(iter(part.values())))
+        if total >= rows:
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in held.items()})
+            held, total = {}, 0
+    if total:
+        yield pd.DataFrame({c: np.concatenate(v) for c, v in held.items()})
+
+
 def _seeds(rows: DataFrame, size: int) -> DataFrame:
     """(k, seed, n): the distinct seeds of each row, and at how many places of it they are."""
 
-    def run(batches):
+    def each(batches):
         for pdf in batches:
-            keys, out = pdf["k"].to_numpy(), []
+            keys = pdf["k"].to_numpy()
             for i, h in _hashed(pdf["text"].tolist(), size):
                 least, all_ = window_seeds(h, size)
                 distinct, n = np.unique(all_[np.isin(all_, least[np.r_[True, least[1:] != least[:-1]]])], return_counts=True)
-                out.append((np.full(len(distinct), keys[i]), distinct.view(np.int64), n))
-            if out:
-                yield pd.DataFrame({"k": np.concatenate([o[0] for o in out]), "seed": np.concatenate([o[1] for o in out]), "n": np.concatenate([o[2] for o in out])})
+                yield {"k": np.full(len(distinct), keys[i]), "seed": distinct.view(np.int64), "n": n}
 
-    return rows.select("k", "text").mapInPandas(run, "k long, seed long, n long")
+    return rows.select("k", "text").mapInPandas(lambda batches: _gathered(each(batches), OUT_ROWS), "k long, seed long, n long")
 
 
-def _candidates(text: str, seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows whose seed is one of ``seeds``, and the word hashes."""
-    h = hashes_of(words_of(text))
-    return np.flatnonzero(np.isin(window_seeds(h, size)[0], seeds)), h
+def _candidates(words: list[bytes], seeds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose seed is one of ``seeds``, and the hashes of those windows."""
+    h = hashes_of(words)
+    starts = np.flatnonzero(np.isin(window_seeds(h, size)[0], np.asarray(seeds, np.int64).view(np.uint64)))
+    return starts, _sequences(h, size)[starts].view(np.int64)
 
 
 def _windows(marked: DataFrame, size: int) -> DataFrame:
     """(w, k) of each window that may be repeated."""
 
-    def run(batches):
+    def each(batches):
         for pdf in batches:
-            held, rows = [], 0
             for k, text, seeds in zip(pdf["k"], pdf["text"], pdf["seeds"], strict=True):
-                starts, h = _candidates(text, np.asarray(seeds, np.int64).view(np.uint64), size)
-                held.append(pd.DataFrame({"w": _sequences(h, size)[starts].view(np.int64), "k": k}))
-                rows += len(starts)
-                if rows > 200_000:
-                    yield pd.concat(held)
-                    held, rows = [], 0
-            if held:
-                yield pd.concat(held)
+                w = _candidates(words_of(text), seeds, size)[1]
+                yield {"w": w, "k": np.full(len(w), k)}
 
-    return marked.select("k", "text", "seeds").mapInPandas(run, "w long, k long")
+    return marked.select("k", "text", "seeds").mapInPandas(lambda batches: _gathered(each(batches), OUT_ROWS), "w long, k long")
 
 
 def _runs(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Word spans of runs of consecutive window starts."""
+    """Word spans of runs of consecutive window starts, in pieces of at most ``PIECE`` words; every window lies whole in a piece."""
     if not len(starts):
         return []
     breaks = np.flatnonzero(np.diff(starts) != 1)
     first, last = np.r_[starts[0], starts[breaks + 1]], np.r_[starts[breaks], starts[-1]]
-    return list(zip(first.tolist(), (last + size).tolist(), strict=True))
+    step = max(1, PIECE - size + 1)  # window starts of a piece
+    return [(at, min(at + step - 1, b) + size) for a, b in zip(first.tolist(), last.tolist(), strict=True) for at in range(a, b + 1, step)]
 
 
-def _passages(rows: DataFrame, size: int) -> DataFrame:
-    """(shard, salt, role, k, at, words): passages of the reference (role 0) and of the documents that stream (role 1)."""
+def _reference(marked: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """(piece, n, words, ws): pieces of the passages of the documents that stand for the repeated windows ``ws``."""
 
     def run(batches):
         for pdf in batches:
             out, total = [], 0
-            for k, text, seeds, reps, routes in zip(pdf["k"], pdf["text"], pdf["seeds"], pdf["reps"], pdf["routes"], strict=True):
-                words = text.encode().split()
-                starts, h = _candidates(text, np.asarray(seeds, np.int64).view(np.uint64), size)
-                if reps is not None:
-                    own = np.isin(_sequences(h, size)[starts].view(np.int64), np.asarray(reps["own"], np.int64))
-                    for a, b in _runs(starts[own], size):
-                        out.append((int(reps["shard"]), int(reps["salts"]), 0, k, a, b" ".join(words[a:b]).decode()))
-                if routes is not None:
-                    pieces = [(a, b" ".join(words[a:b]).decode()) for a, b in _runs(starts, size)]
-                    for route in routes:
-                        out += [(int(route["shard"]), int(route["salt"]), 1, k, a, piece) for a, piece in pieces]
-                total += len(words)
-                if total > 400_000:
+            for k, text, seeds, own in zip(pdf["k"], pdf["text"], pdf["seeds"], pdf["own"], strict=True):
+                words = words_of(text)
+                starts, w = _candidates(words, seeds, size)
+                mine = np.isin(w, np.asarray(own, np.int64))
+                starts, w = starts[mine], w[mine]
+                for a, b in _runs(starts, size):
+                    lo, hi = np.searchsorted(starts, (a, b - size + 1))
+                    out.append((f"{k} {a}", b - a, b" ".join(words[a:b]).decode(), w[lo:hi]))
+                    total += b - a
+                if total > 2 * BLOCK_WORDS:
                     yield pd.DataFrame(out, columns=columns)
                     out, total = [], 0
             yield pd.DataFrame(out, columns=columns)
 
-    columns = ["shard", "salt", "role", "k", "at", "words"]
-    return rows.mapInPandas(run, "shard int, salt int, role int, k long, at int, words string")
+    columns = ["piece", "n", "words", "ws"]
+    own = repeated.groupBy("k").agg(F.collect_list("w").alias("own"))  # at most the windows of one document
+    return marked.select("k", "text", "seeds").join(own, "k").mapInPandas(run, "piece string, n int, words string, ws array<long>")
 
 
-def _held_against(passages: DataFrame, size: int) -> DataFrame:
-    """(k, first, after): spans that the automaton of a shard matches."""
+def _streamed(routed: DataFrame, size: int) -> DataFrame:
+    """(shard, salt, role, k, k2, at, words): the runs of candidate windows of each document for the shards on its ``routes``."""
+
+    def run(batches):
+        for pdf in batches:
+            out, total = [], 0
+            for k, k2, text, seeds, routes in zip(pdf["k"], pdf["k2"], pdf["text"], pdf["seeds"], pdf["routes"], strict=True):
+                words = words_of(text)
+                for a, b in _runs(_candidates(words, seeds, size)[0], size):
+                    said = b" ".join(words[a:b]).decode()
+                    out += [(int(r["shard"]), int(r["salt"]), 1, k, k2, a, said) for r in routes]
+                    total += (b - a) * len(routes)
+                if total > 2 * BLOCK_WORDS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, total = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf["role"].to_numpy()
-        automaton = SuffixAutomaton(w.split(" ") for w in pdf["words"][role == 0].drop_duplicates())
-        out, seen = [], {}
-        for k, at, words in pdf.loc[role == 1, ["k", "at", "words"]].itertuples(index=False):
-            found = seen.get(words)  # copies stream once
-            if found is None:
-                found = seen[words] = automaton.spans(words.split(" "), size)
-            out += [(k, at + a, at + b) for a, b in found]
-        return pd.DataFrame(out, columns=["k", "first", "after"])
+    columns = ["shard", "salt", "role", "k", "k2", "at", "words"]
+    return routed.mapInPandas(run, "shard int, salt int, role int, k long, k2 long, at int, words string")
 
-    return passages.groupBy("shard", "salt").applyInPandas(match, "k long, first int, after int")
+
+def _held_against(passages: DataFrame, size: int) -> DataFrame:
+    """(k, k2, first, after): spans that the automaton of a shard matches."""
+
+    def run(batches):
+        place, reference, automaton = None, [], None
+        seen: dict[str, list] = {}  # copies stream once
+        held = 0
+        for pdf in batches:
+            out = []
+            for shard, salt, role, k, k2, at, words in pdf.itertuples(index=False):
+                if (shard, salt) != place:
+                    place, reference, automaton, seen, held = (shard, salt), [], None, {}, 0
+                if role == 0:
+                    reference.append(words)
+                    continue
+                if automaton is None:
+                    automaton, reference = SuffixAutomaton(w.split(" ") for w in reference), []
+                found = seen.get(words)
+                if found is None:
+                    found, held = automaton.spans(words.split(" "), size), held + len(words)
+                    if held > 2_000_000:
+                        seen, held = {}, len(words)
+                    seen[words] = found
+                out += [(k, k2, at + a, at + b) for a, b in found]
+            yield pd.DataFrame(out, columns=["k", "k2", "first", "after"])
+
+    ordered = passages.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role")
+    return ordered.mapInPandas(run, "k long, k2 long, first int, after int")
 
 
 def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row: ``rest`` (a struct of the columns other than text), ``text`` and ``spans`` (array of first and after, in words; null if none)."""
     spark = docs.sparkSession
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), rest.alias("rest"), F.col("text").cast("string").alias("text"))
+    k2 = F.xxhash64(F.lit("key"), "doc_id", "text")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), k2.alias("k2"), rest.alias("rest"), F.col("text").cast("string").alias("text"))
     seeds = written(_seeds(rows, size))
     twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
     by_row = seeds.join(twice, "seed").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
     kept = written(rows.join(by_row, "k", "left"))
+    discard(seeds)
     release(spark)
     marked = kept.where("seeds is not null")
 
     windows = _windows(marked, size)
     repeated = written(windows.groupBy("w").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n > 1").select("w", "k"))
     release(spark)
-    shards = max(1, -(-repeated.count() // shard_words))
-    shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")
-    routes = written(windows.join(repeated.select("w", shard.alias("shard")), "w").select("k", "shard").distinct())
+    reference = written(_reference(marked, repeated, size))
+    discard(repeated)
+    shards = max(1, -(-(reference.agg(F.sum("n")).first()[0] or 0) // shard_words))
+    pieces = reference.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("int"))
+    by_window = pieces.select(F.explode("ws").alias("w"), "shard")
+    routes = written(windows.join(by_window, "w").groupBy("k", "shard").agg(F.count("*").alias("n")))
     release(spark)
-    salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_ROWS).cast("int").alias("salts"))
-    salted = routes.join(salts, "shard").select("k", F.struct("shard", F.pmod(F.xxhash64("k", F.lit("salt")), "salts").cast("int").alias("salt")).alias("route"))
-    routed = salted.groupBy("k").agg(F.collect_list("route").alias("routes"))
-    reps = repeated.groupBy("k").agg(F.collect_list("w").alias("own")).withColumn("shard", shard).join(salts, "shard")
-    reps = reps.select("k", F.struct("own", "shard", "salts").alias("reps"))
-    needed = marked.select("k", "text", "seeds").join(reps, "k", "left").join(routed, "k", "left").where("reps is not null or routes is not null")
-    passages = _passages(needed, size)
-    spread = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("salt") - 1)).otherwise(F.array("salt"))  # the reference goes to all tasks of its shard
-    dealt = passages.select("shard", F.explode(spread).alias("salt"), "role", "k", "at", "words")
-    found = written(_held_against(dealt, size).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans")))
+    salts = routes.groupBy("shard").agg(F.ceil(F.sum(F.col("n") + size) / STREAM_WORDS).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("k", F.lit("salt")), "salts").cast("int").alias("salt")
+    routed = routes.join(salts, "shard").select("k", F.struct("shard", salt).alias("route")).groupBy("k").agg(F.collect_list("route").alias("routes"))
+    streamed = _streamed(marked.select("k", "k2", "text", "seeds").join(routed, "k"), size)
+    none = F.lit(0).cast("long")
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")  # the reference goes to all tasks of its shard
+    sent = pieces.join(salts, "shard").select("shard", each, F.lit(0).alias("role"), none.alias("k"), none.alias("k2"), F.lit(0).alias("at"), "words")
+    spans = _held_against(sent.unionByName(streamed), size).groupBy("k", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans"))
+    found = written(spans)
+    discard(routes, reference)
     release(spark)
-    none = F.lit(None).cast("array<struct<first:int,after:int>>").alias("spans")
-    return marked.join(found, "k", "left").select("rest", "text", "spans").unionByName(kept.where("seeds is null").select("rest", "text", none))
+    no_spans = F.lit(None).cast("array<struct<first:int,after:int>>").alias("spans")
+    return marked.join(found, ["k", "k2"], "left").select("rest", "text", "spans").unionByName(kept.where("seeds is null").select("rest", "text", no_spans))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -267,9 +316,8 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut from ``text``, and the columns ``n_words`` and ``n_removed``."""
-    marked = mark_repeats(docs, size)
+def _cut(marked: DataFrame) -> DataFrame:
+    """``rest``, ``text`` without the spans, and how many words it had and lost."""
 
     def run(batches):
         for batch in batches:
@@ -281,9 +329,22 @@ def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
                 gone.append(sum(b - a for a, b in spans))
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["rest", "text", "n_words", "n_removed"])
 
-    schema = marked.select("rest", "text").schema.add("n_words", "long").add("n_removed", "long")
-    out = marked.mapInArrow(run, schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns), "n_words", "n_removed")
+    return marked.mapInArrow(run, marked.select("rest", "text").schema.add("n_words", "long").add("n_removed", "long"))
+
+
+def _columns(docs: DataFrame, without: tuple[str, ...] = ()):
+    return [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns if c not in without]
+
+
+def remove_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut from ``text``, and the columns ``n_words`` and ``n_removed`` (in place of any of these names)."""
+    added = ("n_words", "n_removed")
+    return _cut(mark_repeats(docs, size)).select(*_columns(docs, added), *added)
+
+
+def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut from ``text``, without those of which nothing is left; columns unchanged."""
+    return _cut(mark_repeats(docs, size)).where("n_removed < n_words or n_removed = 0").select(*_columns(docs))
 
 
 def removal_digest(docs: DataFrame, size: int = 35) -> DataFrame:

@@ -32,8 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that occur twice go; a document of which nothing is left goes too."""
-    cut = substring.remove_repeats(docs)
-    left = cut.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0)).drop("n_words", "n_removed")
+    left = substring.cut_repeats(docs)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

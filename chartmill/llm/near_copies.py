@@ -1,12 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles (the pipeline's stage; op9's query has its own measure, see :mod:`.simhash`).
+"""One document of each group of near-duplicates, by exact Jaccard similarity of word shingles (the pipeline's use of SimHash).
 
 Two texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``SHARE`` (a ratio of whole numbers) or more. Texts of
-one set are one node. Candidates come from a prefix filter, which misses no pair: in any common order of the shingles, two linked sets share a
-shingle among the first n - ceil(SHARE n) + 1 of each. The order here is by a table of counts of a fixed size, so that common lines come last;
-counts that share a cell only cost time. Every candidate that isn't already connected is compared by its whole sets.
+one set are one node. A similarity of 0.8 leaves about ten of 64 bits of a SimHash different, so no radius that a block scheme can search
+finds all links; SimHash finds most, and a prefix filter the rest:
 
-The nodes of a shared shingle are compared with one leader, the connected ones go together, and so again with a second leader; only
-what is then still apart is compared pair by pair, in salted blocks. A large group of near copies thus costs stars and not all of its pairs.
+1. Fingerprints of the shingle sets are linked by the bit-sliced comparison of :mod:`.simhash`; links that the whole sets confirm are kept.
+2. What isn't connected then is found by a prefix filter, which misses no pair: in any common order of the shingles, two linked sets
+   share a shingle among the first n - ceil(SHARE n) + 1 of each. The order here is by a table of counts of a fixed size, so that common
+   lines come last; counts that share a cell only cost time. Every candidate that isn't already connected is compared by its whole sets.
+
+The nodes of a shared shingle are compared with one leader and the connected ones go together; only what is then still apart is
+compared pair by pair, in salted blocks. A large group of near copies thus costs stars and not all of its pairs.
 
 Defined cases: texts without words (or null) have the empty set and are one node; texts shorter than a shingle have their whole sequence as their only
 shingle; repeated rows are copies; a null doc_id is kept only if all of its component's ids are null; columns are unchanged.
@@ -19,30 +23,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, durable, release, words_of, written
+from .common import blocks, discard, durable, release, words_of, written
 from .components import connected_components
-from .simhash import _LOWER, row_key
+from .simhash import _LOWER, link_edges, row_check, row_key, rows_of
 from .substring import hashes_of
 
 #: Similarity from which texts are linked, as numerator and denominator.
 SHARE = (4, 5)
 #: Cells of the table of counts, and cells of a part of it in the sum; characters hashed at once; nodes of a block in the comparison of the rest.
 CELLS, PART, BLOCK_CHARS, BLOCK = 1 << 20, 1 << 16, 1_000_000, 512
-LEADERS = 2
+RADIUS = 3
 
 
 def shingle_sets(texts: list[str | None], size: int):
     """The sorted distinct shingle hashes of each text."""
     for part in blocks(texts, BLOCK_CHARS):
-        words = [words_of(t.translate(_LOWER)) if isinstance(t, str) else [] for t in part]
-        flat = hashes_of([w for own in words for w in own])
-        for h in np.split(flat, np.cumsum([len(own) for own in words])[:-1]):
-            n = min(size, len(h))
-            found = np.full(max(len(h) - n + 1, 0) if n else 0, n, np.uint64)
-            for i in range(n):
-                found = (found ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                found ^= found >> np.uint64(29)
-            yield np.unique(found)
+        yield from _sets(part, size)
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position."""
+    found = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+    for i in range(n):
+        found = (found ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def _sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    words = [words_of(t.translate(_LOWER)) if isinstance(t, str) else [] for t in texts]
+    flat = hashes_of([w for own in words for w in own])
+    rolled, at, out = _rolled(flat, size), 0, []  # of the whole block; places across two texts are not read
+    for own in words:
+        n = len(own)
+        whole = rolled[at : at + n - size + 1] if n >= size else _rolled(flat[at : at + n], n) if n else flat[:0]
+        out.append(np.unique(whole))
+        at += n
+    return out
+
+
+def simhash_of(found: np.ndarray) -> np.uint64:
+    """A bit for each bit that is set in over half of the hashes."""
+    mixed = found * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(mixed), 1 << 16):
+        ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0]
 
 
 def cells_of(found: np.ndarray) -> np.ndarray:
@@ -55,8 +82,8 @@ def common_counts(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for pdf in batches:
-            for found in shingle_sets(pdf["text"].tolist(), size):
-                np.add.at(total, cells_of(found), 1)
+            for part in blocks(pdf["text"].tolist(), BLOCK_CHARS):
+                total += np.bincount(cells_of(np.concatenate([np.zeros(0, np.uint64), *_sets(part, size)])), minlength=CELLS)
         if total.any():
             yield pd.DataFrame({"part": range(CELLS // PART), "counts": [total[a : a + PART].astype(np.int32).tobytes() for a in range(0, CELLS, PART)]})
 
@@ -73,7 +100,7 @@ def common_counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, k, node (a hash of the set), n (its size) and the shingles of its prefix in the common order."""
+    """doc_id, k, k2, node (a hash of the set), n (its size), its SimHash and the shingles of its prefix in the common order."""
     from xxhash import xxh64_intdigest
 
     counts = docs.sparkSession.sparkContext.broadcast(common_counts(docs, size))
@@ -85,12 +112,12 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
             for found in shingle_sets(pdf["text"].tolist(), size):
                 n = len(found)
                 order = np.argsort(counts.value[cells_of(found)], kind="stable")[: n - -(-up * n // down) + 1]
-                out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, found[order].view(np.int64)))
-            frame = pd.DataFrame(out, columns=["node", "n", "prefix"])
-            yield frame.assign(doc_id=pdf["doc_id"].to_numpy(), k=pdf["k"].to_numpy())[["doc_id", "k", "node", "n", "prefix"]]
+                out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, simhash_of(found).view(np.int64), found[order].view(np.int64)))
+            frame = pd.DataFrame(out, columns=["node", "n", "fp", "prefix"])
+            yield frame.assign(**{c: pdf[c].to_numpy() for c in ("doc_id", "k", "k2")})[["doc_id", "k", "k2", "node", "n", "fp", "prefix"]]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"))
-    return rows.mapInPandas(run, "doc_id long, k long, node long, n long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"), row_check().alias("k2"))
+    return rows.mapInPandas(run, "doc_id long, k long, k2 long, node long, n long, fp long, prefix array<long>")
 
 
 def fits(a, b):
@@ -103,64 +130,74 @@ def fits(a, b):
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar."""
     pairs = written(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "k")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "k", "k2")
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["node"], "found": [f.view(np.int64) for f in shingle_sets(pdf["text"].tolist(), size)]})
 
-    texts = docs.select(row_key().alias("k"), "text").join(wanted, "k").dropDuplicates(["node"])
+    texts = docs.select(row_key().alias("k"), row_check().alias("k2"), "text").join(wanted, ["k", "k2"]).dropDuplicates(["node"])
     sets = written(texts.select("node", "text").mapInPandas(run, "node long, found array<long>"))
     left, right = (sets.select(F.col("node").alias(c), F.col("found").alias(f"set_{c}")) for c in "ab")
     up, down = SHARE
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return written(pairs.join(left, "a").join(right, "b").where((up + down) * both >= up * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
+    found = written(pairs.join(left, "a").join(right, "b").where((up + down) * both >= up * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
+    discard(sets, pairs)
+    return found
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of nodes: stars of equal fingerprints, and the links of the distinct ones."""
+    chief = nodes.groupBy("fp").agg(F.min("node").alias("chief"))
+    stars = nodes.join(chief, "fp").where("node <> chief").select(F.col("chief").alias("a"), F.col("node").alias("b"))
+    left, right = (chief.select(F.col("fp").alias(f"fp_{c}"), F.col("chief").alias(c)) for c in "ab")
+    links = link_edges(chief.select("fp"), RADIUS).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return stars.unionByName(links.join(left, "fp_a").join(right, "fp_b").select("a", "b"))
 
 
 def components(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, root) of the nodes that have a link."""
+    edges = linked(simhash_pairs(nodes), docs, nodes, size)
+    members = durable(connected_components(edges))
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     member = F.struct("node", "n", "at")
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rest = written(entries.join(shared, "key").select("key", member.alias("x")))
-    edges, members = None, None
-    for step in range(LEADERS + 1):
-        if members is not None:
-            named = rest.join(members.withColumnRenamed("node", "_node"), F.col("x.node") == F.col("_node"), "left")
-            rest = named.select("key", "x", F.coalesce("root", "x.node").alias("root"))
-        else:
-            rest = rest.withColumn("root", F.col("x.node"))
-        groups = rest.groupBy("key").agg(F.min("x").alias("y"), F.min_by("root", "x").alias("own"), F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    for step in ("leaders", "pairs"):
+        named = rest.join(members.withColumnRenamed("node", "_node"), F.col("x.node") == F.col("_node"), "left")
+        rooted = named.select("key", "x", F.coalesce("root", "x.node").alias("root"))
+        groups = rooted.groupBy("key").agg(F.min("x").alias("y"), F.min_by("root", "x").alias("own"), F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         groups = groups.where("lo <> hi").select("key", "y", "own", "c")  # the others are connected
-        rest = written(rest.join(groups, "key"))
-        if rest.isEmpty():
+        apart = written(rooted.join(groups, "key"))
+        discard(rest)
+        if apart.isEmpty():
             break
-        if step < LEADERS:
-            pairs = rest.where(F.col("root") != F.col("own")).where(fits("x", "y"))
+        if step == "leaders":
+            pairs = apart.where(F.col("root") != F.col("own")).where(fits("x", "y"))
             pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-            rest = rest.where(F.col("x.node") != F.col("y.node")).select("key", "x")
+            rest = apart.where(F.col("x.node") != F.col("y.node")).select("key", "x")
         else:
             count = F.ceil(F.col("c") / BLOCK)
-            left = rest.select("key", "x", "root", F.pmod(F.xxhash64("x.node"), count).alias("block"))
-            right = rest.select("key", F.col("x").alias("y"), F.col("root").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
+            left = apart.select("key", "x", "root", F.pmod(F.xxhash64("x.node"), count).alias("block"))
+            right = apart.select("key", F.col("x").alias("y"), F.col("root").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
             pairs = left.join(right, ["key", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("own"))).where(fits("x", "y"))
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         found = linked(pairs, docs, nodes, size)
-        edges = found if edges is None else edges.unionByName(found)
-        members = durable(connected_components(edges))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            members = durable(connected_components(edges))
         release(docs.sparkSession)
-    return members if members is not None else nodes.limit(0).select("node", F.col("node").alias("root"))
+    return members
 
 
 def keep_one_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """One row of each component: that of the smallest doc_id, nulls last, and of its repeated rows any one. Columns unchanged."""
     prints = written(prefixes(docs, size))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "k2")).alias("first")
+    firsts = prints.groupBy("node").agg(first, F.min(F.struct("n", "fp", "prefix")).alias("p"))
+    nodes = written(firsts.select("node", "first", "first.k", "first.k2", "p.n", "p.fp", "p.prefix"))
+    discard(prints)
     release(docs.sparkSession)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")
-    firsts = prints.groupBy("node").agg(first, F.min(F.struct("n", "prefix")).alias("p"))
-    nodes = written(firsts.select("node", "first", F.col("first.k").alias("k"), "p.n", "p.prefix"))
-    members = components(docs, nodes, size)
+    members = components(docs, nodes.drop("first"), size)
     rooted = nodes.join(members.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "first")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("k"))
-    return rows.join(chosen, "k").dropDuplicates(["k"]).select("row.*")
+    return rows_of(docs, rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k", "first.k2"))

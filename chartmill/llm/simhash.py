@@ -5,8 +5,9 @@ are linked if their fingerprints differ in at most ``radius`` bits. Equal finger
 The 64 bits are cut into ``radius + 2`` blocks; within the radius at least two blocks agree, so every link shows in a bucket of one
 of the block pairs. Large buckets are cut into chunks and every pair of chunks is compared on its own, so no bucket is bound to one task.
 
-Within a bucket the fingerprints are stored vertically: one bit plane for each bit, 64 fingerprints in a word. A query XORs its bits with the
-planes and counts differences in carry-save counters; once every counter of the block is beyond the radius the block is abandoned.
+Fingerprints are stored vertically: one bit plane for each bit, 64 of them in a word. In a large bucket a query XORs its bits with the planes;
+of small buckets the pairs of many are laid out in common planes. Differences are counted in carry-save counters, many at once; once every
+counter of a block of 64 is beyond the radius, the block is abandoned.
 A bucket returns a spanning forest of its links, never all pairs; star joins then give the components.
 
 Defined cases: a text without words (or null) has fingerprint zero and is linked like any other; texts shorter than a shingle hash as the
@@ -28,7 +29,7 @@ from .components import connected_components
 
 #: Fingerprints of a bucket that one comparison takes; larger buckets are compared chunk by chunk.
 CHUNK = 2048
-#: Up to this size buckets are compared by shifting the sorted array against itself, many buckets at once.
+#: Up to this size the pairs of buckets are laid out side by side, many buckets in one run of planes; larger ones have planes of their own.
 SMALL = 24
 
 
@@ -54,14 +55,15 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, ``fp`` (signed) and the key of each row."""
+    """doc_id, ``fp`` (signed) and the keys of each row."""
 
     def run(batches):
         for pdf in batches:
             values = [fingerprint(t if isinstance(t, str) else None, size) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(values, np.uint64).view(np.int64), "k": pdf["k"]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(values, np.uint64).view(np.int64), "k": pdf["k"], "k2": pdf["k2"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k")).mapInPandas(run, "doc_id long, fp long, k long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"), row_check().alias("k2"))
+    return rows.mapInPandas(run, "doc_id long, fp long, k long, k2 long")
 
 
 def row_key():
@@ -69,6 +71,11 @@ def row_key():
     return F.xxhash64("doc_id", "text")
 
 
+def row_check():
+    """Another 64 bits of the same, for joins that must not confuse rows."""
+    return F.xxhash64(F.lit("key"), "doc_id", "text")
+
+
 def bit_planes(values: np.ndarray) -> np.ndarray:
     """64 rows of words: bit i of every value, 64 values in a word."""
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
@@ -77,21 +84,50 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def sliced_matches(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> np.ndarray:
-    """Boolean (queries, n): at most ``radius`` (one less than a power of two) bits differ."""
-    counters = [np.zeros((len(queries), planes.shape[1]), np.uint64) for _ in range(radius.bit_length())]
-    beyond = np.zeros_like(counters[0])
+def _count_beyond(rows, shape: tuple[int, int], radius: int) -> np.ndarray:
+    """Lanes where at least one of the 64-lane words of a column has at most ``radius`` (one less than a power of two) of 64 set bits: a
+    mask of the counters that stayed within it, word by word. ``rows(i, columns)`` gives bit i of the differences; a column (64 targets) is
+    abandoned as soon as all its counters are beyond the radius."""
     full = ~np.uint64(0)
+    columns = np.arange(shape[1])
+    counters = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
+    beyond = np.zeros(shape, np.uint64)
     for i in range(64):
-        carry = planes[i][None, :] ^ np.where((queries >> np.uint64(i)) & np.uint64(1), full, np.uint64(0))[:, None]
+        carry = rows(i, columns)
         for c in counters:
             over = c & carry
             c ^= carry
             carry = over
         beyond |= carry
-        if i % 8 == 7 and (beyond == full).all():
-            return np.zeros((len(queries), n), bool)
-    return np.unpackbits(np.ascontiguousarray(~beyond).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+        if i % 8 == 7:
+            alive = (beyond != full).any(0)
+            if not alive.all():
+                columns, beyond = columns[alive], beyond[:, alive]
+                counters = [c[:, alive] for c in counters]
+                if not len(columns):
+                    break
+    within = np.zeros(shape, np.uint64)
+    within[:, columns] = ~beyond
+    return within
+
+
+def _lanes(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+
+
+def sliced_matches(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> np.ndarray:
+    """Boolean (queries, n): at most ``radius`` bits differ."""
+    full = ~np.uint64(0)
+    differ = lambda i, at: planes[i][at][None, :] ^ np.where((queries >> np.uint64(i)) & np.uint64(1), full, np.uint64(0))[:, None]
+    return _lanes(_count_beyond(differ, (len(queries), planes.shape[1]), radius), n)
+
+
+def sliced_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Boolean (n): at most ``radius`` bits differ between the fingerprints of one place of both arrays."""
+    if not len(left):
+        return np.zeros(0, bool)
+    planes = bit_planes(left ^ right)
+    return _lanes(_count_beyond(lambda i, at: planes[i][at][None, :], (1, planes.shape[1]), radius), len(left))[0]
 
 
 def bucket_forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -147,7 +183,7 @@ def link_edges(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFra
             same = np.flatnonzero((small_key[d:] == small_key[:-d]))
             if not len(same):
                 break
-            near = same[np.bitwise_count(small[same] ^ small[same + d]) <= radius]
+            near = same[sliced_pairs(small[same], small[same + d], radius)]
             edges += zip(small[near].tolist(), small[near + d].tolist(), strict=True)
         stops = np.cumsum(sizes_)
         for stop, n in zip(stops[big].tolist(), sizes_[big].tolist(), strict=True):
@@ -197,7 +233,7 @@ def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def labelled(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (doc_id, fp, k) of all rows, and (fp, root, component_id) of the distinct fingerprints."""
+    """Fingerprints (doc_id, fp, k, k2) of all rows, and (fp, root, component_id) of the distinct fingerprints."""
     prints = durable(fingerprints(docs, size))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     members = connected_components(link_edges(nodes.select("fp"), radius))
@@ -215,7 +251,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFram
 def keep_one_each(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     """One row of each component: that of the smallest doc_id, nulls last, and of its repeated rows any one. Columns unchanged."""
     prints, labels = labelled(docs, radius, size)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("first")
-    chosen = prints.join(labels, "fp").groupBy("root").agg(first).select(F.col("first.k").alias("k"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("k"))
-    return rows.join(chosen, "k").dropDuplicates(["k"]).select("row.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "k2")).alias("first")
+    return rows_of(docs, prints.join(labels, "fp").groupBy("root").agg(first).select("first.k", "first.k2"))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (k, k2), columns unchanged."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("k"), row_check().alias("k2"))
+    return row.join(chosen, ["k", "k2"]).dropDuplicates(["k", "k2"]).select("row.*")

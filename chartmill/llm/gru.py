@@ -17,8 +17,8 @@ import numpy as np
 class Shape:
     """Sizes. ``learned`` words have vectors, in about ``classes`` classes; the listed words after them are cut into ``bands`` classes."""
 
-    hidden: int = 24
-    embed: int = 16
+    hidden: int = 16
+    embed: int = 12
     learned: int = 4096
     classes: int = 64
     bands: int = 16
@@ -79,6 +79,7 @@ class Gru:
             rng = np.random.default_rng(1)
             flat = np.zeros(sum(sizes), np.float32)
         self.flat, self.p, at = flat.astype(np.float32), {}, 0
+        self.seen = np.zeros_like(self.flat)  # squares of gradients, of all calls of train
         fresh = not flat.any()
         for (name, shape), size in zip(self.shapes.items(), sizes, strict=True):
             self.p[name] = self.flat[at : at + size].reshape(shape)
@@ -133,17 +134,20 @@ class Gru:
                 by_state[at] += share @ u
         return (logp, grads, by_state) if train else logp
 
-    def train(self, texts: list[np.ndarray], rate: float = 0.05) -> int:
-        """Truncated backpropagation through the texts, laid end to end in streams; the state is carried from window to window."""
+    def train(self, texts: list[np.ndarray], rate: float = 0.05, streams_of: int = 2048, most: int = 512) -> int:
+        """Truncated backpropagation through the texts, laid end to end in streams of about ``streams_of`` tokens (``most`` streams at most);
+        the state is carried from window to window."""
         w, s = self.words, self.words.shape
         total = sum(map(len, texts))
-        n = max(4, min(64, total // 4096))
+        n = max(4, min(most, total // streams_of))
         streams: list[list[np.ndarray]] = [[] for _ in range(n)]
         lengths = np.zeros(n, np.int64)
         for t in sorted(texts, key=len, reverse=True):
             k = int(lengths.argmin())
             streams[k].append(t)
             lengths[k] += len(t)
+        longest = np.argsort(-lengths, kind="stable")  # streams that end first stand last, and leave
+        streams, lengths = [streams[k] for k in longest], lengths[longest]
         width = int(lengths.max(initial=0)) + (-int(lengths.max(initial=0)) % s.window)
         ids = np.full((width, n), -1, np.int32)
         inputs = np.full((width, n), w.start, np.int64)
@@ -154,16 +158,16 @@ class Gru:
                 inputs[at + 1 : at + len(t), k] = w.inputs(t[:-1])
                 at += len(t)
         h = np.zeros((n, s.hidden), np.float32)
-        seen = np.zeros_like(self.flat)  # squares of gradients
         grad = np.zeros_like(self.flat)
         views, at = {}, 0
         for name, shape in self.shapes.items():
             views[name] = grad[at : at + int(np.prod(shape))].reshape(shape)
             at += int(np.prod(shape))
         for t in range(0, width, s.window):
-            h = self._window(ids[t : t + s.window], inputs[t : t + s.window], h, views)
-            seen += grad * grad
-            self.flat -= rate * grad / (np.sqrt(seen) + 1e-6)
+            active = int(np.searchsorted(-lengths, -t))
+            h = self._window(ids[t : t + s.window, :active], inputs[t : t + s.window, :active], h[:active], views)
+            self.seen += grad * grad
+            self.flat -= rate * grad / (np.sqrt(self.seen) + 1e-6)
         return total
 
     def _window(self, ids: np.ndarray, inputs: np.ndarray, h: np.ndarray, views: dict) -> np.ndarray:

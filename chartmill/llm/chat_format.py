@@ -50,6 +50,18 @@ def fold_events(events: DataFrame) -> DataFrame:
     return tail.where(alive).select("conv_id", "turn", F.element_at("tail", -1)["role"].alias("role"), text.alias("text"))
 
 
+def streamed(messages: DataFrame) -> DataFrame:
+    """The log that leaves just these messages (conv_id, turn, role, text, copy): each comes in two deltas, and its first half was sent once
+    before and then edited or, by the assistant, generated anew. The turn of an event is the message's (turn, role, text's hash, copy)."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    left, right = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.char_length("text"))
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), kind.alias("kind"), text.alias("text"))
+    log = F.array(event(0, F.lit("delta"), left), event(1, again, left), event(2, F.lit("delta"), right))
+    turn = F.struct("turn", "role", F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), "copy")
+    return messages.select("conv_id", turn.alias("turn"), "role", F.explode(log).alias("e")).select("conv_id", "turn", "role", "e.*")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted."""
     body = lambda m: F.concat(F.lit(OPEN), escape(m["role"]), F.lit('">'), escape(m["text"]), F.lit(CLOSE))

@@ -18,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
-    """The schema of ``df`` and further columns; ``df.schema`` itself stays as it is."""
-    schema = StructType(list(df.schema.fields))
+    """The schema of ``df`` and further columns, which take the place of columns of their names; ``df.schema`` itself stays as it is."""
+    names = {name for name, _ in more}
+    schema = StructType([f for f in df.schema.fields if f.name not in names])
     for name, kind in more:
-        schema = schema.add(name, kind)
+        schema = schema.add(StructType.fromDDL(f"`{name}` {kind}").fields[0])
     return schema
 
 
@@ -46,6 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -81,6 +84,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has been counted to hold at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def blocks(texts: list[str | None], chars: int):
     """Runs of texts of about so many characters; a longer text is a run of its own."""
     at, total = 0, 0

@@ -1,13 +1,14 @@
 """Quality rules from tokeniser fertility.
 
 Public vocabularies measure every text: characters per token of a piece and of a byte-level vocabulary, the share of byte-fallback tokens
-and the entropy of the tokens. The bands lie around the median of each language, a multiple of the median absolute deviation wide and wider for
-short texts, whose figures scatter more; both statistics cover all rows with enough tokens. Languages with few such rows share the band of all.
+and the entropy of the tokens. Each figure has a band around the median of each language, a multiple of the median absolute deviation wide and
+wider for short texts, whose figures scatter more: characters per token are bounded on both sides (one vocabulary's approval is enough), the
+byte share above and the entropy below. Both statistics cover all rows with enough tokens. Languages with few such rows share the limits of all.
 The base rule (number of words, share of words in repeated five-word windows) comes first.
 
-Defined cases: null texts have no words and fail the base rule; texts with fewer than ``min_tokens`` tokens pass the bands unless the byte
-share is over its limit; a null language is a group of its own; repeated rows get equal results; a text of any length is measured whole;
-extra columns are ignored.
+The rows need the columns doc_id, text and lang. Defined cases: null texts have no words and fail the base rule; texts with fewer than
+``min_tokens`` tokens are judged by the byte share alone; a null language is a group of its own; repeated rows get equal results; a text of
+any length is measured whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sized
 from .sentencepiece_bpe import model as piece_model
 
 SYMBOLS = b"#*$%&|<>"
@@ -34,8 +35,12 @@ class Bands:
     short_tokens: int = 200  # at this length the band of a text is wider by the square root of two
     min_tokens: int = 48
     min_rows: int = 50
-    max_byte_share: float = 0.25
-    min_entropy: float = 2.5
+    max_byte_share: float = 0.25  # for languages without bands of their own
+    min_entropy: float = 2.5  # likewise
+    least_chars: float = 0.01  # least deviations, by figure
+    least_share: float = 0.02
+    least_entropy: float = 0.25
+    languages: int = 100_000  # bands of up to so many languages are sent to every task
 
 
 class ByteLevel:
@@ -126,37 +131,42 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
 
 
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "piece_chars", "byte_chars", "byte_share", "entropy"]
-JUDGED = ("piece_chars", "byte_chars")
+CHARS = ("piece_chars", "byte_chars")
+JUDGED = (*CHARS, "byte_share", "entropy")
 
 
 def judge(figures: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """``base_failed`` and ``kept`` from the figures, and the reason of a rejection.
 
-    Medians and deviations are percentile sketches, merged before the shuffle, so a language that holds most rows is no hot group.
+    Medians and deviations are percentile sketches, merged before the shuffle; the table of bands has a row for each language and, once it
+    is counted, goes to the rows, so a language that holds most rows is no hot group.
     """
     whole = figures.where(F.col("n_tokens") >= bands.min_tokens)
     group = F.coalesce("lang", F.lit(""))
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    medians = whole.groupBy(group.alias("g")).agg(*(middle(c).alias(f"mid_{c}") for c in JUDGED), F.count("*").alias("n"))
-    off = whole.withColumn("g", group).join(medians, "g")
+    medians = durable(whole.groupBy(group.alias("g")).agg(*(middle(c).alias(f"mid_{c}") for c in JUDGED), F.count("*").alias("n")))
+    off = whole.withColumn("g", group).join(sized(medians, bands.languages), "g")
     spreads = off.groupBy("g").agg(*(middle(F.abs(F.col(c) - F.col(f"mid_{c}"))).alias(f"dev_{c}") for c in JUDGED))
-    own = medians.join(spreads, "g").where(F.col("n") >= bands.min_rows).drop("n")
-    overall = whole.agg(*(F.percentile_approx(c, [0.01, 0.5, 0.99], 10_000).alias(f"all_{c}") for c in JUDGED))
-    judged = figures.withColumn("g", group).join(own, "g", "left").crossJoin(F.broadcast(overall))  # one row
+    own = durable(medians.join(spreads, "g").where(F.col("n") >= bands.min_rows).drop("n"))
+    overall = whole.agg(*(F.percentile_approx(c, [0.01, 0.5, 0.99], 10_000).alias(f"all_{c}") for c in CHARS))
+    judged = figures.withColumn("g", group).join(sized(own, bands.languages), "g", "left").crossJoin(F.broadcast(overall))  # one row
     wider = F.sqrt(1 + bands.short_tokens / F.greatest("n_tokens", F.lit(1)))
+    room = lambda c, least: bands.width * F.greatest(F.col(f"dev_{c}"), F.lit(least)) * wider
+    banded = F.col(f"mid_{CHARS[0]}").isNotNull()
     inside = F.lit(False)  # one vocabulary's approval is enough
-    for c in JUDGED:
-        room = bands.width * F.greatest(F.col(f"dev_{c}"), F.lit(0.01)) * wider
-        near = F.when(F.col(f"mid_{c}").isNotNull(), F.abs(F.col(c) - F.col(f"mid_{c}")) <= room).otherwise(
+    for c in CHARS:
+        near = F.when(banded, F.abs(F.col(c) - F.col(f"mid_{c}")) <= room(c, bands.least_chars)).otherwise(
             F.col(c).between(F.col(f"all_{c}")[0] / 2, F.col(f"all_{c}")[2] * 2)
         )
         inside |= F.coalesce(near, F.lit(True))
+    most_bytes = F.when(banded, F.col("mid_byte_share") + room("byte_share", bands.least_share)).otherwise(F.lit(bands.max_byte_share))
+    least_entropy = F.when(banded, F.col("mid_entropy") - room("entropy", bands.least_entropy)).otherwise(F.lit(bands.min_entropy))
     short = F.col("n_tokens") < bands.min_tokens
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     reason = (
         F.when(failed, "base")
-        .when(F.col("byte_share") > bands.max_byte_share, "byte share")
-        .when(~short & (F.col("entropy") < bands.min_entropy), "entropy")
+        .when(F.col("byte_share") > most_bytes, "byte share")
+        .when(~short & (F.col("entropy") < least_entropy), "entropy")
         .when(~short & ~inside, "characters per token")
     )
     return judged.select("doc_id", *FIGURES[:5], failed.alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"), *FIGURES[5:])

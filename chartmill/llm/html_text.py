@@ -61,7 +61,7 @@ ASIDE_WORDS = frozenset(
 )
 GROUPING = frozenset("div section ul ol dl table form header center span p".split())
 #: Factors of the ratio under such an element, by how it says so; least ratio of content.
-BY_TAG, BY_LABEL, LEAST_RATIO = 0.001, 0.002, 1.5
+BY_TAG, BY_LABEL, LEAST_RATIO = 0.00001, 0.002, 1.5
 
 
 class Element:
@@ -194,7 +194,7 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
 
 
 def fused_ratios(blocks: list[Block]) -> np.ndarray:
-    """The smoothed ratios of every block, multiplied, under the factor of its element."""
+    """The smoothed ratios of every block, multiplied, under the factor of its element (against the page's greatest: a label on everything says nothing)."""
     ratios = path_ratios(blocks)
     smooth, weight = ratios.copy(), np.ones(len(blocks))
     depth = np.array([b.element.depth for b in blocks])
@@ -209,7 +209,8 @@ def fused_ratios(blocks: list[Block]) -> np.ndarray:
         weight[d:] += w
         weight[:-d] += w
     smooth /= weight[:, None]
-    return smooth[:, 0] * (smooth[:, 1] + 0.05) * np.array([b.element.factor for b in blocks])
+    factor = np.array([b.element.factor for b in blocks])
+    return smooth[:, 0] * (smooth[:, 1] + 0.05) * factor / max(factor.max(), BY_LABEL)
 
 
 def content_mask(blocks: list[Block], spread: float = 0.2) -> np.ndarray:

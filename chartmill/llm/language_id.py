@@ -35,7 +35,7 @@ SWITCH = 12.0
 #: A language uses a script if at least this share of its training letters is written in it.
 SCRIPT_SHARE = 0.02
 #: Characters of text scored at once, and distinct words kept by a Python worker.
-BLOCK_CHARS, CACHE_WORDS = 3_000_000, 250_000
+BLOCK_CHARS, CACHE_WORDS = 1_000_000, 150_000
 _RUN = re.compile(r"[^\W\d_]+")
 #: Odd multipliers of the n-gram hash; the last two tell lengths apart.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
@@ -216,7 +216,7 @@ class Labeller:
         total = np.bincount(doc, n, len(tokens))
         change = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]) if len(labels) else np.zeros(0, int)
         spans: list[list[tuple[str, int]]] = [[] for _ in tokens]
-        for a, b in zip(change.tolist(), np.r_[change[1:], len(labels)].tolist(), strict=True):
+        for a, b in zip(change.tolist(), [*change[1:].tolist(), len(labels)], strict=False):
             spans[doc[a]].append((langs[labels[a]], b - a))
         out = []
         for k in range(len(tokens)):
@@ -229,15 +229,17 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score and spans (array of lang and words) added."""
+    """The rows of ``docs`` with lang_pred, score and spans (array of lang and words), in place of any columns of these names."""
 
     def run(batches):
         labeller = Labeller(model)
         for pdf in batches:
             found = labeller.predict([t if isinstance(t, str) else None for t in pdf[text]])
-            yield pdf.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found], spans=[[{"lang": a, "words": b} for a, b in f[2]] for f in found])
+            added = {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "spans": [[{"lang": a, "words": b} for a, b in f[2]] for f in found]}
+            yield pdf.assign(**added)[names]
 
     schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"), ("spans", "array<struct<lang:string,words:long>>"))
+    names = schema.names
     return docs.mapInPandas(run, schema)
 
 

@@ -30,11 +30,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    """Every row is a message of its own, also where rows tie on the turn or repeat; messages follow each other by turn, role and the text's hash."""
+    said = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), said.alias("text"))
     says = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
-    events = rows.unionByName(more).select("conv_id", F.col("turn").alias("seq"), "turn", "role", F.lit("delta").alias("kind"), "text")
-    return chat_format.digest(chat_format.read_back(chat_format.format_conversations(events)))
+    copies = rows.unionByName(more).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    messages = copies.select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    return chat_format.digest(chat_format.read_back(chat_format.format_conversations(chat_format.streamed(messages))))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +71,7 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 messages AS (
-  SELECT conv_id, turn, last(role ORDER BY role, text) AS role, string_agg(text, '' ORDER BY text, role) AS text
-  FROM rows_ GROUP BY conv_id, turn),
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS turn, role, text FROM rows_),
 escaped AS (
   SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS r, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS t
   FROM messages)

@@ -26,8 +26,8 @@ from .common import blocks, schema_with
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
-#: Words kept per Python worker; the store is emptied when it is full.
-CACHE_WORDS = 250_000
+#: Characters of the words kept per Python worker, with what keeping a word costs; the store is emptied when it is full. Longer words aren't kept.
+CACHE_CHARS, WORD_COST, KEPT_CHARS = 30_000_000, 100, 200
 #: Characters of text whose words are held at once.
 BLOCK_CHARS = 1_000_000
 
@@ -72,6 +72,7 @@ class Bpe:
         self.pair_rank = np.array([pairs[k][0] for k in self.pair_keys.tolist()], np.int64)
         self.pair_into = np.array([pairs[k][1] for k in self.pair_keys.tolist()], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.kept = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left << 20) | right
@@ -160,14 +161,20 @@ class Bpe:
         return out
 
     def _encode_block(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+        if self.kept > CACHE_CHARS:
+            self.cache, self.kept = {}, 0
         cache, cut = self.cache, _WORD.findall
         split = [cut(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in cache))
         cache.update(zip(new, self.encode_words([w.replace(" ", SPACE) for w in new]), strict=True))
         begin, end, get = np.uint32(self.bos).tobytes(), np.uint32(self.eos).tobytes(), cache.__getitem__
-        return [begin + b"".join(map(get, words)) + end for words in split]
+        out = [begin + b"".join(map(get, words)) + end for words in split]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del cache[w]
+            else:
+                self.kept += len(w) + WORD_COST
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Text of ids. Bytes that aren't UTF-8 become U+FFFD each; the space put before the text goes."""
@@ -192,15 +199,16 @@ def model(path: str) -> Bpe:
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``token_ids`` (binary, 32-bit little-endian) and ``decoded`` added."""
+    """The rows of ``docs`` with ``token_ids`` (binary, 32-bit little-endian) and ``decoded``, in place of any columns of these names."""
 
     def run(batches):
         bpe = model(path)
         for pdf in batches:
             ids = bpe.encode([t if isinstance(t, str) else None for t in pdf[text]])
-            yield pdf.assign(token_ids=ids, decoded=[bpe.decode(i) for i in ids])
+            yield pdf.assign(token_ids=ids, decoded=[bpe.decode(i) for i in ids])[names]
 
     schema = schema_with(docs, ("token_ids", "binary"), ("decoded", "string"))
+    names = schema.names
     return docs.mapInPandas(run, schema)
 
 

@@ -6,7 +6,9 @@ shards keep equal numbers of documents (law ``rows``: at most one apart).
 Every document starts in the shard of its hash. In a round each group (by the neighbours of its members: counts of the group by shard) names
 the shard that holds most of it, and members elsewhere ask to move there. Between two shards as many may move one way as move the other, plus
 the room that the linked documents leave (those without a link give way for nothing); who moves is decided on hash buckets, with running sums over a table of a fixed size, so no
-shard's applicants meet in one task. Groups larger than half a shard are first cut into equal parts by document, as no shard could hold them.
+shard's applicants meet in one task. Groups larger than a shard are first cut into equal parts by document, as no shard could hold them.
+What belongs to a group reaches its documents by a join; the few groups above a share of all documents are sent to every task instead, so
+no task gets all copies of one text.
 
 At the end every shard ranks its documents, linked ones first, and those beyond its exact share (documents without a link, unless there are
 too few) fill the places left in other shards. Ranks come from counts of hash buckets and ranks within a bucket.
@@ -28,6 +30,20 @@ from .common import durable, text_key
 GRANT_BUCKETS = 512
 #: Documents for each bucket of the final ranking.
 RANK_ROWS = 2000
+#: Groups of more than one in so many documents (``HOT_ROWS`` at least) are hot; there can't be more of them than this.
+HOT_SHARE, HOT_ROWS = 50_000, 1000
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (one row for each of ``keys``, and its number of rows ``n``); the hot ones are broadcast."""
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    values = [c for c in groups.columns if c not in keys]
+    first = rows.join(F.broadcast(groups.where(hot)), keys, "left")
+    met = F.col("n").isNotNull()
+    apart = [F.when(met, F.xxhash64("row", F.lit(c)).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(f"_{c}") for c in keys]  # what is met goes anywhere
+    rest = groups.where(~hot).select(*(F.col(c).alias(f"_{c}") for c in keys), *(F.col(c).alias(f"_{c}") for c in values))
+    second = first.select("*", met.alias("_met"), *apart).join(rest, [f"_{c}" for c in keys], "left")
+    return second.select(*rows.columns, *(F.when(F.col("_met"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in values))
 
 
 def _group_parts(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
@@ -39,16 +55,17 @@ def _group_parts(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
             (F.octet_length(said) + 1).cast("long").alias("size"),
             F.crc32(said.cast("binary")).alias("text_crc32"),
             *(k.alias(n) for k, n in zip(text_key(said), ("t1", "t2"), strict=True)),
+            F.monotonically_increasing_id().alias("row"),  # fixed by the checkpoint
         )
     )
     total = rows.count()
     groups = rows.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
-    most = max(1, total // shards // 2)
+    most = max(1, total // shards)
     parts = F.ceil(F.col("n") / most)
-    linked = rows.join(groups, ["t1", "t2"], "left")
-    part = F.when(F.col("n").isNotNull(), F.xxhash64("t1", "t2", F.pmod(F.xxhash64("doc_id", F.lit("part")), parts)))
+    linked = _join_groups(rows, groups, ["t1", "t2"], total)
+    part = F.when(F.col("n").isNotNull(), F.xxhash64("t1", "t2", F.pmod(F.xxhash64("doc_id", "row", F.lit("part")), parts)))
     start = F.pmod(F.xxhash64("doc_id", "t1", F.lit("start")), F.lit(shards)).cast("int")
-    return linked.select("doc_id", "size", "text_crc32", part.alias("g"), start.alias("shard")), total
+    return linked.select("doc_id", "size", "text_crc32", "row", part.alias("g"), start.alias("shard")), total
 
 
 def _grant(asking: DataFrame, loads: dict[int, int], shards: int, capacity: int) -> DataFrame:
@@ -62,12 +79,12 @@ def _grant(asking: DataFrame, loads: dict[int, int], shards: int, capacity: int)
         quota[a, b] = back + extra
     limit = F.create_map(*(x for (a, b), q in quota.items() for x in (F.lit(a * shards + b), F.lit(q))))
     buckets = asking.groupBy("shard", "to", "b").agg(F.sum("n").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("shard", "to").orderBy("b"))  # GRANT_BUCKETS rows for each pair of shards
+    running = F.sum("n").over(Window.partitionBy("shard", "to").orderBy("n", "b"))  # GRANT_BUCKETS rows for each pair of shards; a large bucket doesn't hold up the others
     return buckets.withColumn("running", running).where(F.col("running") <= F.element_at(limit, F.col("shard") * shards + F.col("to"))).select("shard", "to", "b")
 
 
 def propagate(rows: DataFrame, total: int, shards: int, rounds: int = 5) -> DataFrame:
-    """Counts of linked documents move, group by group: (g, shard, to) says where the members of a group in a shard end up."""
+    """Counts of linked documents move, group by group: (g, shard, n, to) says where the members of a group that leave a shard end up."""
     state = rows.where("g is not null").groupBy("g", "shard").agg(F.count("*").alias("n"))
     state = durable(state.withColumn("to", F.col("shard")))  # (g, first shard) -> shard now
     capacity = total // shards
@@ -84,17 +101,17 @@ def propagate(rows: DataFrame, total: int, shards: int, rounds: int = 5) -> Data
         granted = _grant(asking, loads, shards, capacity).select(F.col("shard").alias("to"), F.col("to").alias("best"), "b", F.lit(True).alias("yes"))
         moved = wishes.join(F.broadcast(granted), ["to", "best", "b"], "left")  # shards x shards x buckets rows at most
         state = durable(moved.select("g", "shard", "n", F.when(F.col("yes"), F.col("best")).otherwise(F.col("to")).cast("int").alias("to")))
-    return state.select("g", "shard", "to")
+    return state.where("to <> shard")
 
 
 def _ranked(rows: DataFrame, shard: str, buckets: int, order: Column, name: str) -> DataFrame:
     """Rank from 0 within the shard as column ``name``: rows of lower ``order`` (0 or 1) first, then by hash bucket."""
-    bucket = order * buckets + F.pmod(F.xxhash64("g", "doc_id", "text_crc32"), F.lit(buckets))
+    bucket = order * buckets + F.pmod(F.xxhash64("g", "row"), F.lit(buckets))
     rows = rows.withColumn("b", bucket)
     sizes = rows.groupBy(shard, "b").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(shard).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
     offsets = sizes.select(shard, "b", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(shard, "b").orderBy("g", "doc_id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy(shard, "b").orderBy("g", "doc_id", "row"))
     return rows.withColumn("r", within).join(offsets, [shard, "b"]).withColumn(name, F.col("before") + F.col("r") - 1).drop("b", "r", "before")
 
 
@@ -103,7 +120,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows, total = _group_parts(docs, shards)
     rows = durable(rows)
     moves = propagate(rows, total, shards)
-    placed = rows.join(moves, ["g", "shard"], "left").withColumn("at", F.coalesce("to", "shard")).drop("to", "shard")
+    placed = _join_groups(rows, moves, ["g", "shard"], total).withColumn("at", F.coalesce("to", "shard")).drop("to", "shard", "n")
     buckets = max(1, math.ceil(total / shards / RANK_ROWS))
     ranked = durable(_ranked(placed, "at", buckets, F.col("g").isNull().cast("int"), "rank"))
     counts = {r["at"]: r["n"] for r in ranked.groupBy("at").agg(F.count("*").alias("n")).collect()}

@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from chartmill.functions.text import compact, plain_words
 
 
-def content_key(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.lower(compact(p, 300)), F.lit("")) for p in parts)), 256), 1, 16)
+def _kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the folder the cluster names; in local mode without one, keep the plan."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def content_key(*parts: Column, most: int | None = 300) -> Column:
+    """Hash of the parts, lower-cased, with white space collapsed; ``most``: characters of a part that count (null: all)."""
+    said = [compact(p, most) if most else F.trim(F.regexp_replace(F.coalesce(p, F.lit("")), r"\s+", " ")) for p in parts]
+    return F.substring(F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.lower(x), F.lit("")) for x in said)), 256), 1, 16)
 
 
 def first_of_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -52,8 +65,6 @@ def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold:
     import numpy as np
     import pandas as pd
 
-    from chartmill.llm.common import written
-
     def unit(pdf: pd.DataFrame) -> np.ndarray:
         v = np.array(pdf["_v"].tolist(), np.float64)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -91,16 +102,16 @@ def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold:
         cut = rows.join(large, "_g").groupBy("_g").agg(cuts, F.count("*").alias("n"))
         before = F.when(F.col("_key").isNull(), n_blocks - 1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("_key"))))
         salt = F.pmod(F.xxhash64("_key"), F.ceil(F.col("n") / (4 * block)))
-        rest = written(rows.join(cut, "_g").select("_g", "_key", "_v", before.alias("_b"), salt.alias("_s"), "n"))
+        rest = _kept(rows.join(cut, "_g").select("_g", "_key", "_v", before.alias("_b"), salt.alias("_s"), "n"))
         schema = "_g {}, _key long, _v {}, _b int, _s long, n long, duplicate_of long".format(*(rest.schema[c].dataType.simpleString() for c in ("_g", "_v")))
         for b in range(n_blocks):
             own = rest.where(F.col("_b") == b)
-            led = written(own.groupBy("_g").applyInPandas(lead, "_key long, duplicate_of long"))
+            led = _kept(own.groupBy("_g").applyInPandas(lead, "_key long, duplicate_of long"))
             found = found.unionByName(led)
             heads = own.join(led.where("duplicate_of is null").select("_key"), "_key")
             parts = heads.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / (4 * block)) - 1)))
             later = rest.where(F.col("_b") > b).groupBy("_g", "_s").cogroup(parts.toDF(*parts.columns).groupBy("_g", "_s"))
-            after = written(later.applyInPandas(follow, schema))
+            after = _kept(later.applyInPandas(follow, schema))
             found = found.unionByName(after.where("duplicate_of is not null").select("_key", "duplicate_of"))
             rest = after.where("duplicate_of is null").drop("duplicate_of")
     return df.join(found, df[key] == found["_key"], "left").drop("_key")

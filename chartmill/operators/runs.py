@@ -1,14 +1,21 @@
-"""Benchmark and run analytics: failure-aware means, nearest-rank percentiles, stratified reports, paired comparison."""
+"""Benchmark and run analytics: failure-aware means, percentiles by place, stratified reports, paired comparison, roll-ups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(c: str, p: float) -> Column:
-    """The smallest value with at least the share ``p`` of the values at or below it."""
-    return F.percentile_disc(F.col(c), p) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p}) within group (order by `{c}`)")
+def rank_values(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
+    """For each share p the element at place (n - 1) p, rounded half to even, of the sorted values of a group, as columns p<percent>.
+
+    Values are counted first, so only distinct values are ordered.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    part = Window.partitionBy(*groups)
+    run = each.withColumn("_after", F.sum("_n").over(part.orderBy(value))).withColumn("_all", F.sum("_n").over(part))
+    places = [F.bround((F.col("_all") - 1) * p) for p in shares]
+    return run.groupBy(*groups).agg(*(F.min(F.when(F.col("_after") > place, F.col(value))).alias(f"p{round(100 * p)}") for p, place in zip(shares, places, strict=True)))
 
 
 def failure_aware(df: DataFrame, groups: list[str], score: str) -> DataFrame:
@@ -19,19 +26,76 @@ def failure_aware(df: DataFrame, groups: list[str], score: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, levels: list[str], value: str) -> DataFrame:
-    """Means for every level alone and over all, as (stratum, level, n, mean)."""
+    """Means for every level alone and over all, as (stratum, level, n, mean); rows without a level, or with a blank one, are in none of its strata."""
     out = df.groupingSets([[x] for x in levels] + [[]], *levels).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.grouping(x).alias(f"_g{i}") for i, x in enumerate(levels)))
-    stratum, level = F.lit("all"), F.lit("all")
+    stratum, level, named = F.lit("all"), F.lit("all"), F.lit(True)
     for i, x in enumerate(levels):
-        stratum, level = F.when(F.col(f"_g{i}") == 0, F.lit(x)).otherwise(stratum), F.when(F.col(f"_g{i}") == 0, F.col(x).cast("string")).otherwise(level)
-    return out.select(stratum.alias("stratum"), level.alias("level"), "n", "mean")
+        mine = F.col(f"_g{i}") == 0
+        stratum, level = F.when(mine, F.lit(x)).otherwise(stratum), F.when(mine, F.col(x).cast("string")).otherwise(level)
+        named &= ~mine | (F.coalesce(F.col(x).cast("string"), F.lit("")) != "")
+    return out.where(named).select(stratum.alias("stratum"), level.alias("level"), "n", "mean")
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, score: str, failed: str) -> DataFrame:
+    """Cases of two runs side by side: in which run they are, whether they failed, and the difference of the scores, a failure or missing score as zero."""
+    side = lambda df, s: df.where(F.col(key).isNotNull()).select(key, F.lit(True).alias(f"in_{s}"), F.coalesce(F.col(failed), F.lit(False)).alias(f"failed_{s}"), F.col(score).alias(f"score_{s}"))
+    both = side(left, "left").join(side(right, "right"), key, "full")
+    zero = lambda s: F.when(~F.col(f"failed_{s}"), F.coalesce(f"score_{s}", F.lit(0.0))).otherwise(F.lit(0.0))
+    met = F.col("in_left") & F.col("in_right")
+    return both.withColumn("delta", F.when(met, F.round(zero("right") - zero("left"), 6)))
 
 
-def compare_runs(left: DataFrame, right: DataFrame, key: str, score: str) -> DataFrame:
-    """One row: cases in both, in one only, wins and the mean difference."""
-    both = left.select(key, F.col(score).alias("a")).join(right.select(key, F.col(score).alias("b")), key, "full")
-    delta = F.col("b") - F.col("a")
+def compare_runs(left: DataFrame, right: DataFrame, key: str, score: str, failed: str) -> DataFrame:
+    """One row: cases in both and in one only, cases that got better, worse or neither (beyond 1e-9), that were fixed or broken, and the differences."""
+    both, delta = paired(left, right, key, score, failed), F.col("delta")
     return both.agg(
-        F.count_if(delta.isNotNull()).alias("common"), F.count_if(F.col("b").isNull()).alias("left_only"), F.count_if(F.col("a").isNull()).alias("right_only"),
-        F.count_if(delta > 0).alias("better"), F.count_if(delta < 0).alias("worse"), F.avg(delta).alias("mean_delta"),
+        F.count("in_left").alias("left_cases"), F.count("in_right").alias("right_cases"), F.count(delta).alias("common"),
+        F.count_if(F.col("in_right").isNull()).alias("left_only"), F.count_if(F.col("in_left").isNull()).alias("right_only"),
+        F.count_if(delta > 1e-9).alias("better"), F.count_if(delta < -1e-9).alias("worse"), F.count_if(F.abs(delta) <= 1e-9).alias("unchanged"),
+        F.count_if(F.col("failed_left") & ~F.col("failed_right")).alias("fixed"), F.count_if(~F.col("failed_left") & F.col("failed_right")).alias("broken"),
+        F.round(F.avg(delta), 6).alias("mean_delta"), F.round(F.percentile(delta, 0.5), 6).alias("median_delta"),
+    )
+
+
+def metric_means(df: DataFrame, metrics: str) -> DataFrame:
+    """(metric, n, mean): means over all keys of a map column, without nulls and NaN."""
+    each = df.select(F.explode(metrics).alias("metric", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return each.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
+
+
+def report_delta(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two reports (metric, mean) side by side with their difference; a metric of one report only has none."""
+    both = left.select("metric", F.col("mean").alias("left")).join(right.select("metric", F.col("mean").alias("right")), "metric", "full")
+    return both.withColumn("delta", F.round(F.col("right") - F.col("left"), 6))
+
+
+def roll_up(steps: DataFrame, run: str) -> DataFrame:
+    """One row for each run from its steps (ord, stage, status, tokens, start, finish)."""
+    failed = F.col("status") == "error"
+    return steps.groupBy(run).agg(
+        F.count("*").alias("stages"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(failed).alias("errors"), F.sum("tokens").alias("tokens"),
+        F.min("start").alias("start"), F.max("finish").alias("finish"), F.min_by("stage", F.when(failed, F.col("ord"))).alias("first_failed"),
+    )
+
+
+def latest_steps(steps: DataFrame, run: str) -> DataFrame:
+    """The last step of each stage of a run with the number of its repeats, and the place at which the stage was first seen."""
+    return steps.groupBy(run, "stage").agg(F.max_by("status", "ord").alias("status"), F.max("ord").alias("last"), F.count("*").alias("repeats"), F.min("ord").alias("first"))
+
+
+def merged(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
+    """Full join of two tables of the same string columns; non-blank values of the second take the place of the first's."""
+    columns = [c for c in primary.columns if c != key]
+    both = primary.join(secondary.select(key, *(F.col(c).alias(f"_{c}") for c in columns)), key, "full")
+    return both.select(key, *(F.coalesce(F.when(F.trim(f"_{c}") != "", F.col(f"_{c}")), F.col(c)).alias(c) for c in columns))
+
+
+def acceptance(df: DataFrame) -> DataFrame:
+    """Shares of accepted, rejected, technically failed and evaluated cases from (accepted, error, verdict); rounded to six places."""
+    refused = F.coalesce(F.col("error"), F.lit("")).startswith("chart_not_accepted")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
+    return df.agg(
+        F.count("*").alias("cases"), share(F.col("accepted") & F.col("error").isNull()).alias("accepted_rate"), share(~F.col("accepted") & F.col("error").isNull()).alias("rejected_rate"),
+        share(F.col("error").isNotNull() & ~refused).alias("technical_rate"), F.count_if(F.col("verdict") != "unknown").alias("evaluated"),
+        F.round(F.avg(F.when(F.col("verdict") != "unknown", (F.col("verdict") == "correct").cast("double"))), 6).alias("correct_rate"),
     )

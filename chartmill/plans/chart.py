@@ -120,6 +120,8 @@ def _window(df: DataFrame, t: dict) -> DataFrame:
     base = Window.partitionBy(*t.get("groupby", [])).orderBy(*(_order(t["sort"]) if t.get("sort") else [F.lit(0)]))
     low, high = t.get("frame", [None, 0])
     rows = base.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+    if low is None and high == 0 and not t.get("ignorePeers"):
+        rows = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # rows that tie are peers and share the frame
     plain = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
     for w in t["window"]:
         op, field, k = w["op"], w.get("field"), w.get("param") or 1
@@ -193,14 +195,17 @@ def transform(df: DataFrame, t: dict, tables: dict[str, DataFrame]) -> DataFrame
         return _window(df, t)
     if "lookup" in t:
         source = t["from"]
-        right = tables[source["data"]].select(F.col(source["key"]).alias(t["lookup"]), *source["fields"]).dropDuplicates([t["lookup"]])
+        given = tables[source["data"]].withColumn("_at", F.monotonically_increasing_id())  # the first row of a key, in the table's order
+        firsts = given.groupBy(F.col(source["key"]).alias(t["lookup"])).agg(F.min_by(F.struct(*source["fields"]), "_at").alias("_first"))
+        right = firsts.select(t["lookup"], *(F.col("_first")[c].alias(c) for c in source["fields"]))
         out = df.join(right, t["lookup"], "left")
         return out.fillna(t["default"], source["fields"]) if "default" in t else out
     if "fold" in t:
         key, value = t.get("as", ["key", "value"])
         return df.unpivot([c for c in df.columns if c not in t["fold"]], t["fold"], key, value)
     if "pivot" in t:
-        values = [r[0] for r in df.select(t["pivot"]).distinct().orderBy(t["pivot"]).limit(t.get("limit") or 10_000).collect()]  # they become columns
+        kinds = df.select(t["pivot"]).distinct().orderBy(t["pivot"])
+        values = [r[0] for r in (kinds.limit(t["limit"]) if t.get("limit") else kinds).collect()]  # they become columns
         return df.groupBy(*t.get("groupby", [])).pivot(t["pivot"], values).agg(AGGREGATES[t.get("op", "sum")](t["value"]))
     if "flatten" in t:
         zipped = F.explode(F.arrays_zip(*t["flatten"])).alias("_x")

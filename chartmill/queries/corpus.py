@@ -13,7 +13,7 @@ def _docs(spark, sf):
 
 
 QUERIES = {
-    "ded_exact": lambda spark, sf: C.first_of_key(_docs(spark, sf), C.content_key(F.col("lang"), F.col("text")), ["doc_id"]).select("doc_id"),
+    "ded_exact": lambda spark, sf: C.first_of_key(_docs(spark, sf), C.content_key(F.col("lang"), F.col("text"), most=None), ["doc_id"]).select("doc_id"),
     "ded_vectors": lambda spark, sf: C.vector_leaders(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "vec_id", "embedding").select("vec_id", "duplicate_of"),
     "qta_by_source": lambda spark, sf: C.within_quota(_docs(spark, sf), "source", ["doc_id"], 25).select("doc_id", "source"),
     "spl_stratified": lambda spark, sf: C.split(_docs(spark, sf).select("doc_id", "lang"), "lang", "doc_id", 0.8),
@@ -25,8 +25,7 @@ QUERIES = {
     ),
 }
 ORACLES = {
-    "ded_exact": r"""SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g') AS t FROM documents)
-      GROUP BY lower(lang), CASE WHEN length(trim(t)) <= 300 THEN lower(trim(t)) ELSE lower(rtrim(substring(trim(t), 1, 299)) || '…') END""",
+    "ded_exact": r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(lang), lower(trim(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g')))",
     "qta_by_source": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 25",
     "spl_stratified": """SELECT doc_id, lang, CASE WHEN r <= CASE WHEN n = 1 THEN 1 ELSE greatest(1, least(n - 1, round_even(n * 0.8, 0))) END THEN 'train' ELSE 'test' END AS split
       FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents)""",

@@ -25,9 +25,9 @@ def nodes(specs: DataFrame, key: str, spec: str, most_levels: int = 32) -> DataF
         inner = level.where("v is not null").where(holder)
         if inner.isEmpty():
             return out.where("path <> '$'")
-        below = spark.sql(f"SELECT t.`{key}`, t.path, t.name, x.key AS k, x.value AS v FROM {{inner}} t, LATERAL variant_explode(t.v) x", inner=inner)
-        step = F.when(F.col("k").isNull(), "[*]").otherwise(F.concat(F.lit("."), F.col("k")))
-        level = below.select(key, F.concat("path", step).alias("path"), F.coalesce("k", "name").alias("name"), "v")
+        below = spark.sql(f"SELECT t.`{key}`, t.path, t.name, x.key AS _step, x.value AS v FROM {{inner}} t, LATERAL variant_explode(t.v) x", inner=inner)
+        step = F.when(F.col("_step").isNull(), "[*]").otherwise(F.concat(F.lit("."), F.col("_step")))
+        level = below.select(key, F.concat("path", step).alias("path"), F.coalesce("_step", "name").alias("name"), "v")
     raise ValueError(f"a specification has more than {most_levels} levels")
 
 
@@ -37,8 +37,12 @@ def items(tree: DataFrame, key: str, item: Column, where: Column | None = None,
     return chosen.select(key, item.alias("item"), (weight if weight is not None else F.lit(1.0)).alias("w")).where("w > 0").groupBy(key, "item").agg(F.sum("w").alias("w"))
 
 
-PATH = F.concat_ws("=", "path", "value")
-KEY_VALUE = F.concat_ws("=", "name", "value")
+def path_item() -> Column:
+    return F.concat_ws("=", "path", "value")
+
+
+def key_value_item() -> Column:
+    return F.concat_ws("=", "name", "value")
 
 
 def f_beta(keys: DataFrame, key: str, reference: DataFrame, guess: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -65,9 +69,9 @@ PICTURE = {"visualization_type": 1.0, "data_encoding": 2.0, "data_transformation
 def encoding_scores(keys: DataFrame, key: str, reference: DataFrame, guess: DataFrame, beta: float = 2.0) -> DataFrame:
     """(key, f): F-beta of the encodings' parts, where types and time units weigh half; x and y of the guess may be swapped."""
     inside, weight = F.col("leaf") & F.col("path").startswith("$.encoding."), F.when(F.col("name").isin(HALF), 0.5).otherwise(1.0)
-    as_is = items(reference, key, PATH, inside, weight)
+    as_is = items(reference, key, path_item(), inside, weight)
     swapped = F.when(F.col("path").startswith("$.encoding.x."), F.regexp_replace("path", r"^\$\.encoding\.x\.", r"\$.encoding.y.")).when(F.col("path").startswith("$.encoding.y."), F.regexp_replace("path", r"^\$\.encoding\.y\.", r"\$.encoding.x.")).otherwise(F.col("path"))
-    scores = [f_beta(keys, key, as_is, items(guess, key, i, inside, weight), beta).select(key, "f") for i in (PATH, F.concat_ws("=", swapped, "value"))]
+    scores = [f_beta(keys, key, as_is, items(guess, key, i, inside, weight), beta).select(key, "f") for i in (path_item(), F.concat_ws("=", swapped, "value"))]
     return scores[0].unionByName(scores[1]).groupBy(key).agg(F.max("f").alias("f"))
 
 

@@ -16,10 +16,12 @@ def _trees(spark, sf):
     return part, *(S.nodes(side, "p_partkey", "spec") for side in sides)
 
 
-def _score(item, where=None):
+def _score(item, where):
+    """Scores of the items; ``item`` and ``where`` make columns."""
+
     def run(spark, sf):
         part, ref, guess = _trees(spark, sf)
-        got = S.f_beta(part, "p_partkey", S.items(ref, "p_partkey", item, where), S.items(guess, "p_partkey", item, where))
+        got = S.f_beta(part, "p_partkey", *(S.items(side, "p_partkey", item(), where()) for side in (ref, guess)))
         return got.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f", "jaccard")))
 
     return run
@@ -27,7 +29,7 @@ def _score(item, where=None):
 
 def _paths(spark, sf):
     part, ref, _ = _trees(spark, sf)
-    return ref.where("leaf").groupBy(S.PATH.alias("item")).agg(F.count("*").alias("n"))
+    return ref.where("leaf").groupBy(S.path_item().alias("item")).agg(F.count("*").alias("n"))
 
 
 def _whole(of):
@@ -46,10 +48,10 @@ def _picture(spark, sf):
 
 QUERIES = {
     "spc_paths": _paths,
-    "spc_full": _score(S.PATH, F.col("leaf")),
-    "spc_key_values": _score(S.KEY_VALUE, F.col("leaf")),
-    "spc_keys": _score(F.col("name"), ~F.col("path").endswith("[*]")),
-    "spc_transforms": _score(S.PATH, F.col("leaf") & F.col("path").startswith("$.transform")),
+    "spc_full": _score(S.path_item, lambda: F.col("leaf")),
+    "spc_key_values": _score(S.key_value_item, lambda: F.col("leaf")),
+    "spc_keys": _score(lambda: F.col("name"), lambda: ~F.col("path").endswith("[*]")),
+    "spc_transforms": _score(S.path_item, lambda: F.col("leaf") & F.col("path").startswith("$.transform")),
     "spc_encodings": _whole(S.encoding_scores),
     "spc_marks": _whole(S.mark_scores),
     "spc_picture": _picture,

@@ -162,7 +162,7 @@ def test_specification_scores_of_odd_specs(spark):
     rows = [(1, '{"mark": "bar", "a": [1, {"b": []}, 1]}', '{"a": [1, 1, {"b": []}], "mark": "bar"}'), (2, "not json", '{"x": 1}'), (3, "{}", None), (4, '{"x": 1, "y": 2}', '{"x": 1}')]
     df = spark.createDataFrame(rows, "k int, ref string, guess string")
     ref, guess = S.nodes(df, "k", "ref"), S.nodes(df, "k", "guess")
-    got = {r["k"]: (r["precision"], r["recall"], r["f"], r["jaccard"]) for r in S.f_beta(df, "k", S.items(ref, "k", S.PATH, ref["leaf"]), S.items(guess, "k", S.PATH, guess["leaf"])).collect()}
+    got = {r["k"]: (r["precision"], r["recall"], r["f"], r["jaccard"]) for r in S.f_beta(df, "k", S.items(ref, "k", S.path_item(), ref["leaf"]), S.items(guess, "k", S.path_item(), guess["leaf"])).collect()}
     assert got[1] == (1.0, 1.0, 1.0, 1.0) and got[2] == (0.0, 1.0, 0.0, 0.0) and got[3] == (1.0, 1.0, 1.0, None) and got[4][:2] == (1.0, 0.5)
 
 

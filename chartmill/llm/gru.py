@@ -79,6 +79,7 @@ class Gru:
             rng = np.random.default_rng(1)
             flat = np.zeros(sum(sizes), np.float32)
         self.flat, self.p, at = flat.astype(np.float32), {}, 0
+        self.rooms: dict[str, np.ndarray] = {}
         self.seen = np.zeros_like(self.flat)  # squares of gradients, of all calls of train
         fresh = not flat.any()
         for (name, shape), size in zip(self.shapes.items(), sizes, strict=True):
@@ -89,50 +90,73 @@ class Gru:
         if fresh:
             self.p["bc"][...] = words.class_bias
 
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """An array kept from call to call: new large arrays cost more than what is computed in them."""
+        room = self.rooms.get(name)
+        if room is None or len(room) < rows * columns:
+            room = self.rooms[name] = np.empty(rows * columns, np.float32)
+        return room[: rows * columns].reshape(rows, columns)
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step from projected inputs: the new state, and what its gradient needs."""
         k = h.shape[1]
         hh = h @ self.p["wh"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * k] + hh[:, : 2 * k])))
+        gates = x[:, : 2 * k] + hh[:, : 2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :k], gates[:, k:]
-        c = np.tanh(x[:, 2 * k :] + r * hh[:, 2 * k :])
-        return h + z * (c - h), z, r, c, hh[:, 2 * k :]
+        c = r * hh[:, 2 * k :]
+        c += x[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, hh[:, 2 * k :]
 
     def output(self, states: np.ndarray, ids: np.ndarray, train: bool = False):
         """Natural log-probability of each id; with ``train`` also the gradients (of the negative sum) by parameter and by state."""
         w, p = self.words, self.p
+        order = np.argsort(w.word_class[ids].astype(np.int16 if w.n_classes < 1 << 15 else np.int32), kind="stable")  # words of a class lie together, so that no class gathers on its own
+        states, ids = states[order], ids[order]
         cls = w.word_class[ids]
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        odds = np.exp(logits)
-        total = odds.sum(1)
+        n, h = states.shape
+        odds = np.matmul(states, p["wc"], out=self._room("odds", n, w.n_classes))
+        odds += p["bc"]
+        odds -= odds.max(1, keepdims=True)
         rows = np.arange(len(ids))
-        logp = logits[rows, cls] - np.log(total) + np.where(ids < w.n_learned, 0, w.word_bias[ids])
+        logp = odds[rows, cls]
+        np.exp(odds, out=odds)
+        total = odds @ np.ones(w.n_classes, np.float32)
+        logp += np.where(ids < w.n_learned, 0, w.word_bias[ids]) - np.log(total)
         if train:
-            odds /= total[:, None]
+            odds *= (1 / total)[:, None]
             odds[rows, cls] -= 1
             grads = {"wc": states.T @ odds, "bc": odds.sum(0), "u": np.zeros_like(p["u"])}
-            by_state = odds @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(w.learned_classes + 1))
+            by_state = np.matmul(odds, p["wc"].T, out=self._room("by_state", n, h))
+        bounds = np.searchsorted(cls, np.arange(w.learned_classes + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
+            at = slice(bounds[c], bounds[c + 1])
             lo, hi = w.starts[c], min(w.starts[c + 1], w.n_learned)
             if hi - lo < 2:
                 continue
-            u, own = p["u"][lo:hi], ids[at] - lo
-            inner = states[at] @ u.T + w.word_bias[lo:hi]
-            inner -= inner.max(1, keepdims=True)
-            share = np.exp(inner)
-            norm = share.sum(1)
-            k = np.arange(len(at))
-            logp[at] += inner[k, own] - np.log(norm)
+            u, own, k = p["u"][lo:hi], ids[at] - lo, rows[: bounds[c + 1] - bounds[c]]
+            share = np.matmul(states[at], u.T, out=self._room("share", len(k), hi - lo))
+            share += w.word_bias[lo:hi]
+            share -= share.max(1, keepdims=True)
+            logp[at] += share[k, own]
+            np.exp(share, out=share)
+            norm = share @ np.ones(hi - lo, np.float32)
+            logp[at] -= np.log(norm)
             if train:
-                share /= norm[:, None]
+                share *= (1 / norm)[:, None]
                 share[k, own] -= 1
                 grads["u"][lo:hi] = share.T @ states[at]
-                by_state[at] += share @ u
-        return (logp, grads, by_state) if train else logp
+                by_state[at] += np.matmul(share, u, out=self._room("more", len(k), h))
+        back = np.empty_like(order)
+        back[order] = rows
+        return (logp[back], grads, by_state[back]) if train else logp[back]
 
     def train(self, texts: list[np.ndarray], rate: float = 0.05, streams_of: int = 2048, most: int = 512) -> int:
         """Truncated backpropagation through the texts, laid end to end in streams of about ``streams_of`` tokens (``most`` streams at most);
@@ -158,7 +182,7 @@ class Gru:
                 inputs[at + 1 : at + len(t), k] = w.inputs(t[:-1])
                 at += len(t)
         h = np.zeros((n, s.hidden), np.float32)
-        grad = np.zeros_like(self.flat)
+        grad, step = np.zeros_like(self.flat), np.empty_like(self.flat)
         views, at = {}, 0
         for name, shape in self.shapes.items():
             views[name] = grad[at : at + int(np.prod(shape))].reshape(shape)
@@ -166,17 +190,23 @@ class Gru:
         for t in range(0, width, s.window):
             active = int(np.searchsorted(-lengths, -t))
             h = self._window(ids[t : t + s.window, :active], inputs[t : t + s.window, :active], h[:active], views)
-            self.seen += grad * grad
-            self.flat -= rate * grad / (np.sqrt(self.seen) + 1e-6)
+            np.multiply(grad, grad, out=step)
+            self.seen += step
+            np.sqrt(self.seen, out=step)
+            step += 1e-6
+            np.divide(grad, step, out=step)
+            step *= rate
+            self.flat -= step
         return total
 
     def _window(self, ids: np.ndarray, inputs: np.ndarray, h: np.ndarray, views: dict) -> np.ndarray:
         p, steps, k = self.p, len(ids), h.shape[1]
         first = (inputs == self.words.start).astype(np.float32)[:, :, None]
         vectors = p["embed"][inputs]
-        x = vectors @ p["wx"] + p["b"]
+        x = np.matmul(vectors.reshape(steps * h.shape[0], -1), p["wx"], out=self._room("x", steps * h.shape[0], 3 * k)).reshape(steps, h.shape[0], 3 * k)
+        x += p["b"]
         kept = []
-        states = np.empty((steps, *h.shape), np.float32)
+        states = self._room("states", steps * h.shape[0], k).reshape(steps, *h.shape)
         for t in range(steps):
             before = h * (1 - first[t])
             h, z, r, c, hc = self.step(x[t], before)
@@ -188,7 +218,7 @@ class Gru:
         from_output = np.zeros((steps * h.shape[0], k), np.float32)
         from_output[live] = by_state * scale
         from_output = from_output.reshape(states.shape)
-        dx, dhh = np.empty((2, steps, h.shape[0], 3 * k), np.float32)
+        dx, dhh = (self._room(c, steps * h.shape[0], 3 * k).reshape(steps, h.shape[0], 3 * k) for c in ("dx", "dhh"))
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, hc = kept[t]
@@ -207,8 +237,9 @@ class Gru:
         views["wx"][...] = vectors.reshape(flat_dx.shape[0], -1).T @ flat_dx
         views["b"][...] = flat_dx.sum(0)
         views["embed"][...] = 0
-        order = np.argsort(inputs.ravel(), kind="stable")
-        rows = inputs.ravel()[order]
+        flat_inputs = inputs.ravel().astype(np.int16 if self.words.start < 1 << 15 else np.int32)
+        order = np.argsort(flat_inputs, kind="stable")
+        rows = flat_inputs[order].astype(np.int64)
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         views["embed"][rows[heads]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], heads, axis=0)
         return h

@@ -72,18 +72,20 @@ class SuffixAutomaton:
 
     def spans(self, words: list[str], least: int) -> list[tuple[int, int]]:
         """Maximal spans [from, to) covered by matches of at least ``least`` words, from the matching statistics of ``words``."""
-        arrow, link, length = self._arrow, self.link, self.length
+        word, target, more, link, length = self.word, self.to, self.more, self.link, self.length
+        none: dict[int, int] = {}
         state = size = 0
         found: list[tuple[int, int]] = []
         for i, c in enumerate(map(self.number.get, words)):
             if c is None:
                 state = size = 0
                 continue
-            to = arrow(state, c)
-            while to < 0 and state:
+            while True:
+                to = target[state] if word[state] == c else more.get(state, none).get(c, -1)
+                if to >= 0 or not state:
+                    break
                 state = link[state]
                 size = length[state]
-                to = arrow(state, c)
             if to >= 0:
                 state = to
                 size += 1

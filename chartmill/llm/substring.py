@@ -38,7 +38,7 @@ from .common import discard, release, words_of, written
 
 SEED = 8  # words of a seed
 #: Words of a reference shard, about, and repeated words that one task streams for a shard.
-SHARD_WORDS, STREAM_WORDS = 60_000, 600_000
+SHARD_WORDS, STREAM_WORDS = 250_000, 1_000_000
 #: Most words of a passage's piece; words that are hashed at once; rows that a task gathers before it hands them on.
 PIECE, BLOCK_WORDS, OUT_ROWS = 1024, 200_000, 200_000
 _M = 0x9E3779B97F4A7C15

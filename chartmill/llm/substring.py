@@ -6,12 +6,13 @@ word under such a window goes. The reference that documents are held against is
 1. Seeds. A document's seeds are the least hashes of its 8-word sequences in each window, so equal windows have equal seeds. Seeds
    are counted over the corpus; only windows with a seed that occurs twice can be repeated.
 2. Reference. The windows that are left are counted by hash with sums before the shuffle. Of a repeated window the first document (by
-   row key) gives the words; its runs of such windows, cut into pieces of at most ``PIECE`` words that overlap by a window less one
-   word, are the passages. Pieces are dealt by hash into shards of about ``shard_words`` words.
-3. Streaming. A shard's passages go to every task that streams documents for it (only documents with one of the shard's windows),
-   and the task builds the shard's suffix automaton. Rows arrive sorted, the reference first, and the documents pass by in batches,
-   so a task holds one automaton and one batch whatever the number of documents; a shard that many documents need is streamed in
-   many tasks. Matching statistics of at least ``size`` words mark the maximal spans that go.
+   row key) gives the words, from one place: its runs of such windows are the passages. They are dealt into shards of about
+   ``shard_words`` words by document (long documents by parts of ``PART`` words), so that near copies meet few shards.
+3. Streaming. A document streams to a shard the runs of its windows that the shard holds, and nothing else, so what is streamed grows
+   with the repeated words and not with the number of shards. The shard's passages go to every task that streams for it, and the
+   task builds the shard's suffix automaton. Rows arrive sorted, the reference first, and the documents pass by in batches, so a
+   task holds one automaton and one batch whatever the number of documents; a shard that many documents need is streamed in many
+   tasks. Matching statistics of at least ``size`` words mark the maximal spans that go.
 
 Nothing is paired within a group of copies: seeds, windows and spans are grouped by sums, and joins have one row on one side.
 
@@ -39,8 +40,8 @@ from .common import discard, release, words_of, written
 SEED = 8  # words of a seed
 #: Words of a reference shard, about, and repeated words that one task streams for a shard.
 SHARD_WORDS, STREAM_WORDS = 250_000, 1_000_000
-#: Most words of a passage's piece; words that are hashed at once; rows that a task gathers before it hands them on.
-PIECE, BLOCK_WORDS, OUT_ROWS = 1024, 200_000, 200_000
+#: Words of a document whose passages go to one shard; most words of a passage's piece; words that are hashed at once; rows that a task gathers before it hands them on.
+PART, PIECE, BLOCK_WORDS, OUT_ROWS = 25_000, 1024, 200_000, 200_000
 _M = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -151,71 +152,54 @@ def _candidates(words: list[bytes], seeds: np.ndarray, size: int) -> tuple[np.nd
 
 
 def _windows(marked: DataFrame, size: int) -> DataFrame:
-    """(w, k) of each window that may be repeated."""
+    """(w, k, at) of each window that may be repeated."""
 
     def each(batches):
         for pdf in batches:
             for k, text, seeds in zip(pdf["k"], pdf["text"], pdf["seeds"], strict=True):
-                w = _candidates(words_of(text), seeds, size)[1]
-                yield {"w": w, "k": np.full(len(w), k)}
+                starts, w = _candidates(words_of(text), seeds, size)
+                yield {"w": w, "k": np.full(len(w), k), "at": starts.astype(np.int32)}
 
-    return marked.select("k", "text", "seeds").mapInPandas(lambda batches: _gathered(each(batches), OUT_ROWS), "w long, k long")
+    return marked.select("k", "text", "seeds").mapInPandas(lambda batches: _gathered(each(batches), OUT_ROWS), "w long, k long, at int")
 
 
-def _runs(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Word spans of runs of consecutive window starts, in pieces of at most ``PIECE`` words; every window lies whole in a piece."""
-    if not len(starts):
-        return []
-    breaks = np.flatnonzero(np.diff(starts) != 1)
-    first, last = np.r_[starts[0], starts[breaks + 1]], np.r_[starts[breaks], starts[-1]]
-    step = max(1, PIECE - size + 1)  # window starts of a piece
-    return [(at, min(at + step - 1, b) + size) for a, b in zip(first.tolist(), last.tolist(), strict=True) for at in range(a, b + 1, step)]
-
+def _runs(windows: DataFrame, size: int, *group: str) -> DataFrame:
+    """Per group (part of one document): ``firsts`` and ``lasts`` window starts of its runs of consecutive windows, and their words ``n``."""
+    starts = windows.groupBy(*group).agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    near = F.col("starts")
+    firsts = F.filter(near, lambda at, i: F.coalesce(at - F.get(near, i - 1) > 1, F.lit(True)))
+    lasts = F.filter(near, lambda at, i: F.coalesce(F.get(near, i + 1) - at > 1, F.lit(True)))
+    n = F.size("starts") + F.size("firsts") * F.lit(size - 1)
+    return starts.select(*group, "starts", firsts.alias("firsts"), lasts.alias("lasts")).select(*group, "firsts", "lasts", n.cast("long").alias("n"))
 
-def _reference(marked: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
-    """(piece, n, words, ws): pieces of the passages of the documents that stand for the repeated windows ``ws``."""
-
-    def run(batches):
-        for pdf in batches:
-            out, total = [], 0
-            for k, text, seeds, own in zip(pdf["k"], pdf["text"], pdf["seeds"], pdf["own"], strict=True):
-                words = words_of(text)
-                starts, w = _candidates(words, seeds, size)
-                mine = np.isin(w, np.asarray(own, np.int64))
-                starts, w = starts[mine], w[mine]
-                for a, b in _runs(starts, size):
-                    lo, hi = np.searchsorted(starts, (a, b - size + 1))
-                    out.append((f"{k} {a}", b - a, b" ".join(words[a:b]).decode(), w[lo:hi]))
-                    total += b - a
-                if total > 2 * BLOCK_WORDS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out, total = [], 0
-            yield pd.DataFrame(out, columns=columns)
 
-    columns = ["piece", "n", "words", "ws"]
-    own = repeated.groupBy("k").agg(F.collect_list("w").alias("own"))  # at most the windows of one document
-    return marked.select("k", "text", "seeds").join(own, "k").mapInPandas(run, "piece string, n int, words string, ws array<long>")
+def _pieces(firsts, lasts, size: int):
+    """Word spans of the runs, in pieces of at most ``PIECE`` words; every window lies whole in a piece."""
+    step = max(1, PIECE - size + 1)  # window starts of a piece
+    for first, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
+        for at in range(first, last + 1, step):
+            yield at, min(at + step - 1, last) + size
 
 
-def _streamed(routed: DataFrame, size: int) -> DataFrame:
-    """(shard, salt, role, k, k2, at, words): the runs of candidate windows of each document for the shards on its ``routes``."""
+def _said(placed: DataFrame, size: int) -> DataFrame:
+    """(shard, salt, role, k, k2, at, words): the pieces of each document for the places on its ``routes``."""
 
     def run(batches):
         for pdf in batches:
             out, total = [], 0
-            for k, k2, text, seeds, routes in zip(pdf["k"], pdf["k2"], pdf["text"], pdf["seeds"], pdf["routes"], strict=True):
+            for k, k2, text, routes in zip(pdf["k"], pdf["k2"], pdf["text"], pdf["routes"], strict=True):
                 words = words_of(text)
-                for a, b in _runs(_candidates(words, seeds, size)[0], size):
-                    said = b" ".join(words[a:b]).decode()
-                    out += [(int(r["shard"]), int(r["salt"]), 1, k, k2, a, said) for r in routes]
-                    total += (b - a) * len(routes)
+                for r in routes:
+                    for a, b in _pieces(np.asarray(r["firsts"]), np.asarray(r["lasts"]), size):
+                        out.append((int(r["shard"]), int(r["salt"]), int(r["role"]), k, k2, a, b" ".join(words[a:b]).decode()))
+                        total += b - a
                 if total > 2 * BLOCK_WORDS:
                     yield pd.DataFrame(out, columns=columns)
                     out, total = [], 0
             yield pd.DataFrame(out, columns=columns)
 
     columns = ["shard", "salt", "role", "k", "k2", "at", "words"]
-    return routed.mapInPandas(run, "shard int, salt int, role int, k long, k2 long, at int, words string")
+    return placed.mapInPandas(run, "shard int, salt int, role int, k long, k2 long, at int, words string")
 
 
 def _held_against(passages: DataFrame, size: int) -> DataFrame:
@@ -263,22 +247,29 @@ def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS
     marked = kept.where("seeds is not null")
 
     windows = _windows(marked, size)
-    repeated = written(windows.groupBy("w").agg(F.count("*").alias("n"), F.min("k").alias("k")).where("n > 1").select("w", "k"))
+    owned = windows.groupBy("w").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min_by("at", "k").alias("at")).where("n > 1")
+    repeated = written(owned.select("w", "k", "at", F.expr(f"at div {PART}").cast("int").alias("part")))
     release(spark)
-    reference = written(_reference(marked, repeated, size))
-    discard(repeated)
+    reference = written(_runs(repeated, size, "k", "part"))
     shards = max(1, -(-(reference.agg(F.sum("n")).first()[0] or 0) // shard_words))
-    pieces = reference.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("int"))
-    by_window = pieces.select(F.explode("ws").alias("w"), "shard")
-    routes = written(windows.join(by_window, "w").groupBy("k", "shard").agg(F.count("*").alias("n")))
+    shard = F.pmod(F.xxhash64("k", "part"), F.lit(shards)).cast("int").alias("shard")
+    routes = written(_runs(windows.join(repeated.select("w", shard), "w"), size, "k", "shard"))
+    discard(repeated)
     release(spark)
-    salts = routes.groupBy("shard").agg(F.ceil(F.sum(F.col("n") + size) / STREAM_WORDS).cast("int").alias("salts"))
+    salts = routes.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("salts"))
     salt = F.pmod(F.xxhash64("k", F.lit("salt")), "salts").cast("int").alias("salt")
-    routed = routes.join(salts, "shard").select("k", F.struct("shard", salt).alias("route")).groupBy("k").agg(F.collect_list("route").alias("routes"))
-    streamed = _streamed(marked.select("k", "k2", "text", "seeds").join(routed, "k"), size)
-    none = F.lit(0).cast("long")
     each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")  # the reference goes to all tasks of its shard
-    sent = pieces.join(salts, "shard").select("shard", each, F.lit(0).alias("role"), none.alias("k"), none.alias("k2"), F.lit(0).alias("at"), "words")
+
+    def placed(parts: DataFrame, salt, role: int) -> DataFrame:
+        """Documents with the runs that they send to a shard; those of one document are fewer than its windows."""
+        route = F.struct("shard", salt, F.lit(role).alias("role"), "firsts", "lasts")
+        at_places = parts.groupBy("k").agg(F.collect_list(route).alias("routes"))
+        return _said(marked.select("k", "k2", "text").join(at_places, "k"), size)
+
+    once = F.lit(0).alias("salt")  # of repeated rows one gives the reference
+    own = placed(reference.select("k", shard, "firsts", "lasts"), once, 0).drop("salt").dropDuplicates(["k", "at"])
+    sent = own.join(salts, "shard").select("shard", each, "role", "k", "k2", "at", "words")
+    streamed = placed(routes.join(salts, "shard"), salt, 1)
     spans = _held_against(sent.unionByName(streamed), size).groupBy("k", "k2").agg(F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans"))
     found = written(spans)
     discard(routes, reference)

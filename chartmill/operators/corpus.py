@@ -38,12 +38,22 @@ def within_quota(df: DataFrame, group: str, order: list[str], quota: int) -> Dat
 
 
 def split(df: DataFrame, stratum: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """``split`` is train or test: of each stratum the share ``ratio`` (rounded half to even, one of each kind at least) by hash order."""
-    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    n = F.count("*").over(Window.partitionBy(stratum))
+    """``split`` is train or test: of each stratum the share ``ratio`` (rounded half to even, one of each kind at least) by hash order.
+
+    A stratum is ranked in buckets by the first three digits of the hash, after the counts of the buckets before, so a stratum of most rows
+    is sorted in thousands of parts. Rows without a stratum are a stratum.
+    """
+    digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    keyed = df.withColumn("_o", digest).withColumn("_b", F.substring("_o", 1, 3))
+    counts = keyed.groupBy(F.col(stratum).alias("_stratum"), F.col("_b").alias("_bucket")).agg(F.count("*").alias("_c"))
+    own = Window.partitionBy("_stratum")
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("_stratum", "_bucket", before.alias("_before"), F.sum("_c").over(own).alias("_n"))
+    placed = keyed.join(places, keyed[stratum].eqNullSafe(places["_stratum"]) & (keyed["_b"] == places["_bucket"]))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o", key))
+    n = F.col("_n")
     take = F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.bround(n * ratio))))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
-    return df.withColumn("split", F.when(rank <= take, "train").otherwise("test"))
+    return placed.withColumn("split", F.when(rank <= take, "train").otherwise("test")).select(*(F.col(f"`{c}`") for c in df.columns if c != "split"), "split")
 
 
 def noise_reason(text: Column, least_chars: int, low_value: list[str]) -> Column:

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from chartmill.operators import corpus as C
 from chartmill.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -172,3 +173,15 @@ def test_quotas_of_hot_keys(spark):
     df = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then cast(id as string) end as key")
     got = over_quota(df, "key", ["id"], 7, "over")
     assert got.count() == 5000 and sorted(r["id"] for r in got.where("not over and key = 'hot'").collect()) == [3 * i for i in range(7)] and got.where("over and (key is null or key <> 'hot')").count() == 0
+
+
+def test_split_ranks_each_stratum_in_hash_order(spark):
+    """One large stratum, a single row and rows without a stratum, against a plain sort."""
+    from hashlib import md5
+
+    rows = [(i, "a" if i < 500 else "b" if i == 500 else None) for i in range(507)]
+    got = {r["id"]: r["split"] for r in C.split(spark.createDataFrame(rows, "id int, g string"), "g", "id", 0.8).collect()}
+    for g in ("a", "b", None):
+        own = sorted((i for i, h in rows if h == g), key=lambda i: md5(f"{i}|42".encode()).hexdigest())
+        take = 1 if len(own) == 1 else max(1, min(len(own) - 1, round(len(own) * 0.8)))
+        assert [got[i] for i in own] == ["train"] * take + ["test"] * (len(own) - take)

@@ -138,6 +138,7 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> Da
 
     texts = docs.select(row_key().alias("k"), row_check().alias("k2"), "text").join(wanted, ["k", "k2"]).dropDuplicates(["node"])
     sets = written(texts.select("node", "text").mapInPandas(run, "node long, found array<long>"))
+    release(docs.sparkSession)  # the shuffled texts
     left, right = (sets.select(F.col("node").alias(c), F.col("found").alias(f"set_{c}")) for c in "ab")
     up, down = SHARE
     both = F.size(F.array_intersect("set_a", "set_b"))

@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,7 +166,52 @@ def _stack(df: DataFrame, t: dict) -> DataFrame:
     return df.withColumn(y0, (end - F.col(field) + shift) / scale).withColumn(y1, (end + shift) / scale)
 
 
+def _power_fit(sums: list[float], moments: list[float], n: int) -> list[float] | None:
+    """Least squares from the 2 * order + 1 power sums of x and the order + 1 sums of y x^i, about the means of x; null if the fit has no answer."""
+    import numpy as np
+
+    size = len(moments)
+    if n < size or None in sums or None in moments:
+        return None
+    normal = np.array([[sums[i + j] for j in range(size)] for i in range(size)])
+    if np.linalg.matrix_rank(normal) < size:
+        return None
+    return np.linalg.solve(normal, np.array(moments)).tolist()
+
+
+def _polynomial(df: DataFrame, t: dict) -> DataFrame:
+    """Coefficients, lowest power first, of a polynomial fit per group: rows become power sums in the JVM, and a row per group is solved.
+
+    x is centred on the table's mean and divided by its greatest distance from it, so that high powers stay of one size and groups are reduced
+    before the shuffle without a join; the coefficients are those of x itself. Groups with fewer different x than coefficients get null."""
+    groups, order = t.get("groupby", []), t.get("order", 3)
+    rows = df.select(*groups, F.col(t["on"]).cast("double").alias("_x"), F.col(t["regression"]).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    mean, low, high = rows.agg(F.avg("_x"), F.min("_x"), F.max("_x")).first()
+    wide = 1.0 if mean is None else max(high - mean, mean - low) or 1.0
+    mean = mean or 0.0
+    z = (F.col("_x") - mean) / wide
+    power = lambda i: F.lit(1.0) if i == 0 else F.pow(z, F.lit(i))
+    fit = rows.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.array(*(F.sum(power(i)) for i in range(2 * order + 1))).alias("_s"), F.array(*(F.sum(F.col("_y") * power(i)) for i in range(order + 1))).alias("_t")
+    )
+
+    @F.pandas_udf("array<double>")
+    def solved(s: pd.Series, t: pd.Series, n: pd.Series) -> pd.Series:
+        from numpy.polynomial import Polynomial
+
+        out = []
+        for sums, moments, count in zip(s, t, n, strict=True):
+            own = _power_fit(list(sums), list(moments), count)
+            full = own and Polynomial(own)(Polynomial([-mean / wide, 1 / wide])).coef.tolist()
+            out.append(full and full + [0.0] * (order + 1 - len(full)))
+        return pd.Series(out)
+
+    return fit.select(*groups, solved("_s", "_t", "n").alias("coef"))
+
+
 def _regression(df: DataFrame, t: dict) -> DataFrame:
+    if t.get("method") in ("poly", "quad"):
+        return _polynomial(df, {**t, "order": 2} if t["method"] == "quad" else t)
     x, y = F.col(t["on"]), F.col(t["regression"])
     method = t.get("method", "linear")
     fx = F.ln(x) if method in ("log", "pow") else x
@@ -292,3 +338,32 @@ def box_plot(df: DataFrame, field: str, groups: list[str]) -> DataFrame:
         F.any_value(F.col("q")[0]).alias("q1"), F.any_value(F.col("q")[1]).alias("median"), F.any_value(F.col("q")[2]).alias("q3"),
         F.min(F.when(inside, F.col(field))).alias("low"), F.max(F.when(inside, F.col(field))).alias("high"), F.count_if(~inside).alias("outliers"),
     )
+
+
+def error_bar(df: DataFrame, field: str, groups: list[str], extent: str = "stderr") -> DataFrame:
+    """``center``, ``lower`` and ``upper`` of a group: mean and the standard error, deviation or normal 95 % interval, or median and quartiles (``iqr``)."""
+    if extent == "iqr":
+        q = df.groupBy(*groups).agg(F.percentile(field, [0.5, 0.25, 0.75]).alias("q"))
+        return q.select(*groups, *(F.col("q")[i].alias(c) for i, c in enumerate(("center", "lower", "upper"))))
+    reach = {"stdev": F.stddev_samp(field), "stderr": AGGREGATES["stderr"](field), "ci": 1.96 * AGGREGATES["stderr"](field)}[extent]
+    return df.groupBy(*groups).agg(F.avg(field).alias("center"), (F.avg(field) - reach).alias("lower"), (F.avg(field) + reach).alias("upper"))
+
+
+def top(df: DataFrame, k: int, sort: list[dict]) -> DataFrame:
+    """The first ``k`` rows in the order of ``sort``; rows that tie come in the order of all columns, so the answer is one."""
+    rest = [F.asc(c) for c in df.columns if c not in {s["field"] for s in sort}]
+    return df.orderBy(*_order(sort), *rest).limit(k)
+
+
+def layers(spec: dict, df: DataFrame, tables: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """One plan for each view of ``layer``, ``concat``, ``hconcat`` or ``vconcat``, nested ones in order; transforms and encodings of the outer
+    specification hold for the inner ones, and a facet's fields (``row``, ``column``, ``facet``) are keys of its view like any other channel."""
+    kinds = [k for k in ("layer", "concat", "hconcat", "vconcat") if k in spec]
+    if not kinds:
+        return [view(spec, df, tables)]
+    shared = {"transform": spec.get("transform", []), "encoding": spec.get("encoding", {})}
+    out = []
+    for inner in (x for k in kinds for x in spec[k]):
+        own = {**inner, "transform": [*shared["transform"], *inner.get("transform", [])], "encoding": {**shared["encoding"], **inner.get("encoding", {})}}
+        out += layers(own, df, tables)
+    return out

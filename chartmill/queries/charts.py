@@ -96,3 +96,52 @@ ORACLES |= {
         count(*) FILTER (WHERE NOT o_totalprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM orders o JOIN q ON o.o_orderpriority = q.o_orderpriority GROUP BY 1""",
     "vl_repeat": "SELECT l_returnflag, round(avg(l_tax), 4) AS mean_value, 'l_tax' AS repeat FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, round(avg(l_discount), 4), 'l_discount' FROM lineitem GROUP BY 1",
 }
+
+
+def _error_bars(extent: str):
+    def run(spark, sf):
+        out = chart.error_bar(_read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], extent)
+        return out.withColumns({c: F.round(c, 4) for c in ("center", "lower", "upper")})
+
+    return run
+
+
+for _extent, _reach in {"stderr": "stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice))", "stdev": "stddev_samp(l_extendedprice)", "ci": "1.96 * stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice))"}.items():
+    QUERIES[f"vl_errorbar_{_extent}"] = _error_bars(_extent)
+    ORACLES[f"vl_errorbar_{_extent}"] = f"SELECT l_returnflag, round(avg(l_extendedprice), 4) AS center, round(avg(l_extendedprice) - {_reach}, 4) AS lower, round(avg(l_extendedprice) + {_reach}, 4) AS upper FROM lineitem GROUP BY 1"
+QUERIES["vl_errorbar_iqr"] = _error_bars("iqr")
+ORACLES["vl_errorbar_iqr"] = "SELECT l_returnflag, round(median(l_extendedprice), 4) AS center, round(quantile_cont(l_extendedprice, 0.25), 4) AS lower, round(quantile_cont(l_extendedprice, 0.75), 4) AS upper FROM lineitem GROUP BY 1"
+
+
+def _top(spark, sf):
+    sums = chart.view({"encoding": {"y": {"field": "p_brand"}, "x": {"aggregate": "sum", "field": "p_size"}}}, _read(spark, sf, "part"))
+    return chart.top(sums, 5, [{"field": "sum_p_size", "order": "descending"}])
+
+
+def _layers(spark, sf):
+    """Two layers of one view, told apart by a column."""
+    both = {"encoding": {"x": {"field": "l_returnflag"}}, "layer": [{"encoding": {"y": {"aggregate": "sum", "field": "l_quantity"}}}, {"transform": [{"filter": {"field": "l_tax", "gt": 0.04}}], "encoding": {"y": {"aggregate": "sum", "field": "l_quantity"}, "row": {"field": "l_linestatus"}}}]}
+    whole, faceted = chart.layers(both, _read(spark, sf, "lineitem"))
+    out = whole.withColumns({"l_linestatus": F.lit(None).cast("string"), "layer": F.lit(0)}).unionByName(faceted.withColumn("layer", F.lit(1)))
+    return out.withColumn("sum_l_quantity", F.round(F.col("sum_l_quantity").cast("double"), 4))
+
+
+def _quadratic(spark, sf):
+    out = chart.view({"transform": [{"regression": "l_extendedprice", "on": "l_quantity", "method": "poly", "order": 2, "groupby": ["l_returnflag"]}]}, _read(spark, sf, "lineitem"))
+    return out.select("l_returnflag", *(F.round(F.col("coef")[i], 2).alias(f"c{i}") for i in range(3)))
+
+
+# The quadratic's SQL solves the normal equations by Cramer's rule, with x about 25.
+_det = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format
+_m = ("n", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4")
+_part = [_det(*(f"t{i // 3}" if i % 3 == k else c for i, c in enumerate(_m))) + " / " + _det(*_m) for k in range(3)]
+QUERIES |= {"vl_topk_sorted": _top, "vl_layer_facet": _layers, "vl_regression_poly": _quadratic}
+ORACLES |= {
+    "vl_topk_sorted": "SELECT p_brand, sum(p_size)::BIGINT AS sum_p_size FROM part GROUP BY 1 ORDER BY sum_p_size DESC, p_brand LIMIT 5",
+    "vl_layer_facet": """SELECT l_returnflag, round(sum(l_quantity)::DOUBLE, 4) AS sum_l_quantity, CAST(NULL AS VARCHAR) AS l_linestatus, 0 AS layer FROM lineitem GROUP BY 1
+      UNION ALL SELECT l_returnflag, round(sum(l_quantity)::DOUBLE, 4), l_linestatus, 1 FROM lineitem WHERE l_tax > 0.04 GROUP BY l_returnflag, l_linestatus""",
+    "vl_regression_poly": f"""WITH v AS (SELECT l_returnflag, (l_quantity - 25.0)::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+      s AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(z) AS s1, sum(z ** 2) AS s2, sum(z ** 3) AS s3, sum(z ** 4) AS s4, sum(y) AS t0, sum(y * z) AS t1, sum(y * z ** 2) AS t2 FROM v GROUP BY 1),
+      f AS (SELECT l_returnflag, {_part[0]} AS a, {_part[1]} AS b, {_part[2]} AS c FROM s)
+      SELECT l_returnflag, round(a - 25 * b + 625 * c, 2) AS c0, round(b - 50 * c, 2) AS c1, round(c, 2) AS c2 FROM f""",
+}

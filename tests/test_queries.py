@@ -185,3 +185,19 @@ def test_split_ranks_each_stratum_in_hash_order(spark):
         own = sorted((i for i, h in rows if h == g), key=lambda i: md5(f"{i}|42".encode()).hexdigest())
         take = 1 if len(own) == 1 else max(1, min(len(own) - 1, round(len(own) * 0.8)))
         assert [got[i] for i in own] == ["train"] * take + ["test"] * (len(own) - take)
+
+
+def test_polynomial_fit_layers_and_top_on_odd_data(spark):
+    from chartmill.plans import chart
+
+    rng = np.random.default_rng(11)
+    rows = [("a", x, 2.0 - x + 0.5 * x**3) for x in rng.uniform(-4, 9, 40).tolist()] + [("b", 1.0, 2.0), ("b", 1.0, 3.0), ("b", 2.0, 5.0), (None, 0.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    fit = {"regression": "y", "on": "x", "method": "poly", "order": 3, "groupby": ["g"]}
+    got = {r["g"]: r["coef"] for r in chart.transform(df, fit, {}).collect()}
+    assert np.allclose(got["a"], [2, -1, 0, 0.5], atol=1e-6) and got["b"] is None and None not in got
+    assert chart.transform(df.limit(0), fit, {}).count() == 0
+    ties = spark.createDataFrame([("q", 1), ("p", 1), ("r", 0)], "k string, n long")
+    assert [r["k"] for r in chart.top(ties, 2, [{"field": "n", "order": "descending"}]).collect()] == ["p", "q"]
+    nested = {"vconcat": [{"layer": [{"encoding": {"x": {"field": "k"}}}, {"encoding": {"x": {"field": "n"}}}]}, {"encoding": {"x": {"field": "k"}}}]}
+    assert [v.columns for v in chart.layers(nested, ties)] == [["k"], ["n"], ["k"]]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fertility, html_text, language_id, language_model, sentencepiece_bpe, sharding, simhash, substring
+from . import chat_format, decontamination, fertility, html_text, language_id, language_model, phrases, sentencepiece_bpe, sharding, simhash, substring, whitening
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -62,7 +62,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.array_join("items", ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op3_language_model, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op3_language_model, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination, op12_whitening, op13_phrases)}
 
 ORACLES = {
     "op5_chat_format": r"""
@@ -104,4 +112,20 @@ found AS (SELECT r, item_id, max(same) AS same FROM aligned WHERE same >= CASE W
 by_doc AS (SELECT r, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(same) AS overlap FROM found GROUP BY r)
 SELECT d.doc_id, b.r IS NOT NULL AS contaminated, coalesce(b.items, '') AS items, CAST(coalesce(b.overlap, 0) AS INTEGER) AS overlap
 FROM docs d LEFT JOIN by_doc b ON d.r = b.r""",
+    "op13_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, x, y, count(*) AS a FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE len(w) > 1)) GROUP BY lang, x, y HAVING count(*) >= 10),
+three AS (SELECT lang, x, y, z, count(*) AS a FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) > 2)) GROUP BY lang, x, y, z HAVING count(*) >= 10),
+cuts AS (
+  SELECT two.lang, concat_ws(' ', two.x, two.y) AS phrase, two.a, 1 AS k, l.f AS l, r.f AS r FROM two JOIN one l ON l.lang = two.lang AND l.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y
+  WHERE NOT EXISTS (SELECT 1 FROM three t WHERE t.lang = two.lang AND t.x = two.x AND t.y = two.y AND 100 * t.a >= 50 * two.a) AND NOT EXISTS (SELECT 1 FROM three t WHERE t.lang = two.lang AND t.y = two.x AND t.z = two.y AND 100 * t.a >= 50 * two.a)
+  UNION ALL SELECT t.lang, concat_ws(' ', t.x, t.y, t.z), t.a, 1, l.f, r.a FROM three t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+  UNION ALL SELECT t.lang, concat_ws(' ', t.x, t.y, t.z), t.a, 2, l.a, r.f FROM three t JOIN two l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one r ON r.lang = t.lang AND r.x = t.z),
+scored AS (SELECT *, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least s JOIN total t ON t.lang = s.lang QUALIFY rank <= 2000""",
 }

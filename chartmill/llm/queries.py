@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fertility, html_text, language_id, language_model, phrases, sentencepiece_bpe, sharding, simhash, substring, whitening
+from . import chat_format, decontamination, fertility, html_text, language_id, language_model, phrases, sentencepiece_bpe, sharding, simhash, substring, suffix_array, whitening
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.array_join("items", ","))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +74,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op3_language_model, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination, op12_whitening, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_substring, op3_language_model, op4_sharding, op5_chat_format, op6_sentencepiece, op7_html_text, op8_language_id, op9_simhash, op10_decontamination, op11_suffix_array, op12_whitening, op13_phrases)}
 
 ORACLES = {
     "op5_chat_format": r"""
@@ -112,6 +116,18 @@ found AS (SELECT r, item_id, max(same) AS same FROM aligned WHERE same >= CASE W
 by_doc AS (SELECT r, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(same) AS overlap FROM found GROUP BY r)
 SELECT d.doc_id, b.r IS NOT NULL AS contaminated, coalesce(b.items, '') AS items, CAST(coalesce(b.overlap, 0) AS INTEGER) AS overlap
 FROM docs d LEFT JOIN by_doc b ON d.r = b.r""",
+    "op11_suffix_array": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substring(x, 2 * i - 1, 800)) AS h FROM (SELECT r, x, unnest(generate_series(1, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+starts AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+edges AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -400) + 400 AS new FROM starts),
+runs AS (SELECT r, i, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM edges),
+gone AS (SELECT r, k, min(i) AS a, max(i) + 399 AS b FROM runs GROUP BY r, k),
+kept AS (
+  SELECT g.r, sum(b - a + 1) AS n, count(*) AS spans, string_agg(substring(d.x, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(d.x), 2 * max(b) + 1) AS x
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS before FROM gone) g JOIN d ON d.r = g.r GROUP BY g.r)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.r = k.r""",
     "op13_phrases": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
 w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),

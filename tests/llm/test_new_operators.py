@@ -1,5 +1,6 @@
-"""Whitening and phrases against brute force: nulls, ties, repeats, long texts, empty tables, clashing names."""
+"""Suffix array, whitening and phrases against brute force: nulls, ties, repeats, long texts, empty tables, clashing names."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chartmill.llm import exchange, phrases, whitening
+from chartmill.llm import exchange, phrases, suffix_array, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -159,3 +160,58 @@ def test_radix_order():
     words = [rng.integers(0, 5, 500).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64) >> rng.integers(0, 60, 500).astype(np.uint64)]
     assert (exchange.radix_order(words) == np.lexsort(words[::-1])).all()
     assert exchange.radix_order([np.zeros(0, np.uint64)]).size == 0
+
+
+def brute_spans(rows, size):
+    data = [(i, (t or "").encode()) for i, t in rows]
+    counts = Counter(b[a : a + size] for _, b in data for a in range(len(b) - size + 1))
+    out = []
+    for i, b in data:
+        gone = np.zeros(len(b) + 1, bool)
+        for a in range(len(b) - size + 1):
+            if counts[b[a : a + size]] > 1:
+                gone[a : a + size] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])
+        out.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def passages():
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "Ärger", "日本", "x"], n))
+    shared, long = prose(60), prose(6000)
+    texts = [prose(90), shared, shared[5:] + prose(50), prose(30) + shared[:-7] + prose(20), prose(40) + shared + shared[20:200] + prose(3), None, "", "short", "a" * 900, "b" * 170 + "a" * 300, "ab" * 300, "abc" * 200 + prose(10)]
+    texts += [long, long[100:9000] + prose(10) + long[300:800], prose(50) + long[10_000:20_000]]
+    base = prose(200)
+    for k in range(25):  # near copies, each with an edit of its own
+        at = int(rng.integers(0, len(base) - 10))
+        texts.append(base[:at] + f"<{k}>" + base[at:])
+    return [(2**60 + 1 + 2 * k if k % 3 else k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0]), (7, texts[3])]
+
+
+@pytest.mark.parametrize("size", [144, 160, 400])
+def test_suffix_array(spark, passages, size, monkeypatch):
+    monkeypatch.setattr(suffix_array, "BLOCK", 3000)
+    df = spark.createDataFrame([(i, t, "en", None, k, f"b{k}") for k, (i, t) in enumerate(passages)], SCHEMA + ", block string").repartition(3)
+    assert sorted(map(tuple, suffix_array.removal_digest(df, size).collect()), key=str) == brute_spans(passages, size)
+
+
+def test_suffix_array_keeps_columns(spark, passages):
+    df = spark.createDataFrame([(i, t, "en", "s", None, f"k{k}", k) for k, (i, t) in enumerate(passages)], SCHEMA + ", k1 string, n_bytes long")
+    out = suffix_array.remove_repeats(df, 160)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "k1", "kept", "n_bytes", "n_removed"] and out.count() == len(passages)
+    assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in out.collect())
+
+
+def test_suffix_array_of_nothing(spark):
+    assert suffix_array.removal_digest(spark.createDataFrame([], SCHEMA)).count() == 0
+    one = suffix_array.removal_digest(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect()
+    assert tuple(one[0]) == (1, 0, 0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_least_in_pieces(monkeypatch):
+    h = np.random.default_rng(0).integers(0, 2**62, 3000).astype(np.uint64) >> np.uint64(22) << np.uint64(24)
+    h[100:140] = h[100]
+    want = [int(np.argmin(h[a : a + 64])) + a for a in range(3000 - 63)]
+    assert suffix_array.least(h, 64).tolist() == want

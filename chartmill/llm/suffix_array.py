@@ -39,6 +39,8 @@ from .exchange import REQUEST, by_bucket, request, starts, with_replies
 SPAN, GRAM, ANCHOR = 64, 16, 32
 #: Bytes of one block, about.
 BLOCK = 4_000_000
+#: Phrases for one bucket, at least and at most, about.
+LEAST, MOST = 5_000, 200_000
 #: Records of the sample that sets the ranges of the buckets.
 SAMPLE = 40_000
 OPEN, ALL, SHOWN = np.uint8(1), np.uint8(2), np.uint8(4)
@@ -490,7 +492,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     if not blocks:
         return copies.select("k1", "k2", "whole", F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
     enough = next((k for k in range(levels) if seen[2 + k] >= size + SPAN), levels - 1) + 1
-    buckets = max(4 * parts, phrases // 200_000)
+    buckets = max(1, min(4 * parts, phrases // LEAST), phrases // MOST)
     state = tables.select("block", "counts", "names")
     for level in range(enough):
         state = named(state, 3**level, buckets, blocks, parts)

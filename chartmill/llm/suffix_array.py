@@ -479,7 +479,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= size).select(k1.alias("k1"), k2.alias("k2"), "text")
     anchors = written(anchor_table(texts, size))
     several = (F.max("twice")) | (F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))
-    shared = anchors.groupBy("h").agg(several.alias("several")).where("several").select("h")
+    shared = written(anchors.groupBy("h").agg(several.alias("several")).where("several").select("h"))
     windows = anchors.join(shared, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     runs = written(run_blocks(texts.join(windows, ["k1", "k2"]).sortWithinPartitions("k1", "k2"), size))
     levels = 1

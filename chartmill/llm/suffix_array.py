@@ -40,7 +40,7 @@ SPAN, GRAM, ANCHOR = 64, 16, 32
 #: Bytes of one block, about.
 BLOCK = 4_000_000
 #: Phrases for one bucket, at least and at most, about.
-LEAST, MOST = 5_000, 200_000
+LEAST, MOST = 25_000, 200_000
 #: Records of the sample that sets the ranges of the buckets.
 SAMPLE = 40_000
 OPEN, ALL, SHOWN = np.uint8(1), np.uint8(2), np.uint8(4)

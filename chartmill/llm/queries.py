@@ -117,8 +117,8 @@ by_doc AS (SELECT r, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id)
 SELECT d.doc_id, b.r IS NOT NULL AS contaminated, coalesce(b.items, '') AS items, CAST(coalesce(b.overlap, 0) AS INTEGER) AS overlap
 FROM docs d LEFT JOIN by_doc b ON d.r = b.r""",
     "op11_suffix_array": r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS bytes, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(array_slice(bytes, i, i + 399)) AS h FROM (SELECT r, bytes, unnest(generate_series(1, octet_length(bytes) - 399)) AS i FROM d WHERE octet_length(bytes) >= 400)),
 starts AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 edges AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -400) + 400 AS new FROM starts),
 runs AS (SELECT r, i, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM edges),

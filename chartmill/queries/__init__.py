@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import charts, corpus, profiles, retrieval, rules, runs, specs
+from . import charts, corpus, matching, profiles, retrieval, rules, runs, specs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _family in (charts, profiles, retrieval, corpus, runs, rules, specs):
+for _family in (charts, profiles, retrieval, corpus, runs, rules, specs, matching):
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartmill.functions.text import plain_words
+from chartmill.operators.lineage import cut
 
 
 def duplicate_key(kind: Column, *texts: Column, words: int = 12) -> Column:
@@ -39,14 +40,49 @@ def quality(prompt: Column, retrieval: Column, text: Column, applies: Column, av
     return share(prompt, 500) * 4.0 + share(retrieval, 250) + yes(applies, 1.0) + yes(avoid, 1.0) + yes(core, 0.8) + yes(trusted, 0.3) + share(text, 1000)
 
 
+def admitted(df: DataFrame, order: list[str], quotas: list[tuple[str, int | dict, str]]) -> DataFrame:
+    """``reason``: the first of the quotas (key column, limit, reason) that a row finds used up by the admitted rows before it, or null.
+
+    Rows come in ``order``, which must tell all rows apart. A row that goes uses up nothing, so every decision rests on those before it. They are
+    settled in rounds: a row stays if its place is within the limit even with all open rows before it, and goes once the admitted ones
+    alone fill a limit; the first open row of each key is always one of these. A key that is null has no limit; limits by key are a dict,
+    and keys that it doesn't name have none. A round moves places and keys only, and finds the places that fill a limit from salted parts.
+    """
+    names = [f"_k{j}" for j in range(len(quotas))]
+    limited = [F.when(F.col(k).isin(list(n)), F.col(k)) if isinstance(n, dict) else F.col(k) for k, n, _ in quotas]
+    state = cut(df.select(F.struct(*order).alias("_o"), *(c.alias(n) for c, n in zip(limited, names, strict=True)), F.lit(None).cast("boolean").alias("_in")))
+
+    def filled(rows: DataFrame, j: int, name: str) -> DataFrame:
+        return place_of_limit(rows, names[j], quotas[j][1]).select(F.col("_key").alias(names[j]), F.col("_last").alias(name))
+
+    while not state.where("_in is null").isEmpty():
+        open_, stays, goes = state.where("_in is null"), F.lit(True), F.lit(False)
+        for j, key in enumerate(names):
+            for rows, name in ((state.where("coalesce(_in, true)"), f"_all{j}"), (state.where("_in"), f"_sure{j}")):
+                open_ = open_.join(filled(rows, j, name), key, "left")
+            stays &= F.coalesce(F.col("_o") <= F.col(f"_all{j}"), F.lit(True))
+            goes |= F.coalesce(F.col("_o") > F.col(f"_sure{j}"), F.lit(False))
+        settled = open_.select("_o", *names, F.when(stays, True).when(goes, False).alias("_in"))
+        state = cut(state.where("_in is not null").unionByName(settled))
+    for j, key in enumerate(names):
+        state = state.join(filled(state.where("_in"), j, f"_sure{j}"), key, "left")
+    reason = F.coalesce(*(F.when(F.col("_o") > F.col(f"_sure{j}"), F.lit(r)) for j, (_, _, r) in enumerate(quotas)), F.lit(None))
+    return df.join(state.select(F.col("_o").alias("_o"), reason.alias("reason")), F.struct(*order) == F.col("_o")).drop("_o")
+
+
+def place_of_limit(rows: DataFrame, key: str, limit: int | dict) -> DataFrame:
+    """(_key, _last): the place ``_o`` of the row that fills the limit of its key; keys with fewer rows are left out. Each salted part of a key keeps no more rows than the limit."""
+    part = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_o")
+    if limit == 1:
+        return part.groupBy("_key").agg(F.min("_o").alias("_last"))
+    most = F.lit(limit) if isinstance(limit, int) else F.create_map(*(F.lit(x) for pair in limit.items() for x in pair))[F.col("_key")]
+    least = part.withColumn("_s", salt_of("_o")).withColumn("_r", F.row_number().over(Window.partitionBy("_key", "_s").orderBy("_o"))).where(F.col("_r") <= most)
+    return least.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_o"))).where(F.col("_r") == most).select("_key", F.col("_o").alias("_last"))
+
+
 def exact_reasons(df: DataFrame, ident: str, key: str, order: list[str]) -> DataFrame:
-    """``reason``: duplicate_doc_id or duplicate_content of an earlier row, or null. The first row of an id that isn't itself a duplicate holds it;
-    here contents are settled first and ids among the rest, so a row that goes reserves nothing for the other rule."""
-    at = F.struct(*order)
-    firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(at).alias("_first"))
-    known = df.join(firsts, key, "left").withColumn("reason", F.when(at > F.col("_first"), "duplicate_content")).drop("_first")
-    ids = known.where(F.col("reason").isNull() & F.col(ident).isNotNull()).groupBy(ident).agg(F.min(at).alias("_first"))
-    return known.join(ids, ident, "left").withColumn("reason", F.when(F.col("reason").isNull() & (at > F.col("_first")), "duplicate_doc_id").otherwise(F.col("reason"))).drop("_first")
+    """``reason``: duplicate_doc_id or duplicate_content of an earlier row that stays, or null; ids are looked at first, and a row that goes holds neither."""
+    return admitted(df, order, [(ident, 1, "duplicate_doc_id"), (key, 1, "duplicate_content")])
 
 
 def errors(required: list[str], vocabulary: dict[str, list[str]]) -> Column:

@@ -71,6 +71,11 @@ def _reasons(spark, sf):
     return C.exact_reasons(d, "ident", "key", ["ord"]).select("ord", "reason")
 
 
+def _admitted(spark, sf):
+    d = _docs(spark, sf).withColumn("cluster", C.first_family(F.coalesce("text", F.lit("")), _FAMILIES)).withColumn("key", C.duplicate_key(F.col("lang"), F.col("text")))
+    return C.admitted(d, ["doc_id"], [("source", {"source1": 20, "source2": 9}, "source_limit"), ("cluster", 30, "noise_cluster_limit"), ("key", 1, "duplicate_key_limit")]).select("doc_id", "reason")
+
+
 def _validated(spark, sf):
     d = _docs(spark, sf).withColumn("source", F.when(F.col("doc_id") % 17 != 0, F.col("source")).otherwise(F.lit(" ")))
     return d.select("doc_id", F.array_join(C.errors(["source", "text"], {"lang": ["en", "de", "fr"]}), ";").alias("errors"))
@@ -102,6 +107,7 @@ QUERIES = {
     "ret_candidates": lambda spark, sf: U.candidates(_docs(spark, sf).where("doc_id % 200 = 0").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 400 == 0, "xx").otherwise(F.col("lang")).alias("lang")), _docs(spark, sf), "lang").groupBy("qid").agg(F.count("*").alias("n")),
     "ded_quality": _quality,
     "ded_reasons": _reasons,
+    "flt_admitted": _admitted,
     "flt_clusters": _clusters,
     "flt_duplicate_keys": _keys,
     "val_errors": _validated,
@@ -137,8 +143,18 @@ ORACLES = {
     "ret_candidates": "SELECT doc_id AS qid, CASE WHEN doc_id % 400 = 0 THEN (SELECT count(*) FROM documents) ELSE (SELECT count(*) FROM documents e WHERE e.lang = d.lang) END AS n FROM documents d WHERE doc_id % 200 = 0",
     "ded_quality": """SELECT doc_id, round(least(length(coalesce(text, '')), 500) / 500 * 4 + least(length(coalesce(source, '')), 250) / 250 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.8 ELSE 0 END
       + CASE WHEN source LIKE '%1' THEN 0.3 ELSE 0 END + least(length(concat_ws(' ', text, source)), 1000) / 1000, 6) AS quality FROM documents""",
-    "ded_reasons": """WITH d AS (SELECT doc_id % 900 AS ident, doc_id AS ord, md5(coalesce(text, '')) AS key FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) > 1 AS dup FROM d),
-      b AS (SELECT *, row_number() OVER (PARTITION BY ident, dup ORDER BY ord) AS r FROM a) SELECT ord, CASE WHEN dup THEN 'duplicate_content' WHEN r > 1 THEN 'duplicate_doc_id' END AS reason FROM b""",
+    "ded_reasons": """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id % 900 AS ident, doc_id AS ord, md5(coalesce(text, '')) AS key, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+      s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS reason
+        UNION ALL SELECT n, CASE WHEN r IS NULL THEN list_append(ids, ident) ELSE ids END, CASE WHEN r IS NULL THEN list_append(keys, key) ELSE keys END, ord, r
+        FROM (SELECT d.*, s.ids, s.keys, CASE WHEN list_contains(s.ids, d.ident) THEN 'duplicate_doc_id' WHEN list_contains(s.keys, d.key) THEN 'duplicate_content' END AS r FROM s JOIN d ON d.n = s.n + 1))
+      SELECT ord, reason FROM s WHERE n > 0""",
+    "flt_admitted": r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, CASE source WHEN 'source1' THEN 'source1' WHEN 'source2' THEN 'source2' END AS source, CASE source WHEN 'source1' THEN 20 ELSE 9 END AS most,
+        CASE WHEN regexp_matches(coalesce(text, ''), '\?') THEN 'question' WHEN regexp_matches(coalesce(text, ''), '\d{3}') THEN 'digits' WHEN regexp_matches(coalesce(text, ''), '[#*$%&]{2}') THEN 'marks' END AS cluster,
+        coalesce(lang, '') || ':' || array_to_string(string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^a-zа-яё0-9]+', ' ', 'g')), ' +')[1:12], ' ') AS key FROM documents),
+      s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS sources, CAST([] AS VARCHAR[]) AS clusters, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS reason
+        UNION ALL SELECT n, CASE WHEN r IS NULL THEN list_append(sources, source) ELSE sources END, CASE WHEN r IS NULL THEN list_append(clusters, cluster) ELSE clusters END, CASE WHEN r IS NULL THEN list_append(keys, key) ELSE keys END, doc_id, r
+        FROM (SELECT d.*, s.sources, s.clusters, s.keys, CASE WHEN len(list_filter(s.sources, lambda x: x = d.source)) >= d.most THEN 'source_limit' WHEN len(list_filter(s.clusters, lambda x: x = d.cluster)) >= 30 THEN 'noise_cluster_limit' WHEN list_contains(s.keys, d.key) THEN 'duplicate_key_limit' END AS r FROM s JOIN d ON d.n = s.n + 1))
+      SELECT doc_id, reason FROM s WHERE n > 0""",
     "flt_clusters": r"""WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\?') THEN 'question' WHEN regexp_matches(coalesce(text, ''), '\d{3}') THEN 'digits' WHEN regexp_matches(coalesce(text, ''), '[#*$%&]{2}') THEN 'marks' END AS cluster FROM documents)
       SELECT cluster, cluster IS NOT NULL AND r > 30 AS over, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS r FROM c) GROUP BY 1, 2""",
     "flt_duplicate_keys": r"""SELECT doc_id, row_number() OVER (PARTITION BY lang, array_to_string(string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '[^a-zа-яё0-9]+', ' ', 'g')), ' +')[1:12], ' ') ORDER BY doc_id) > 1 AS over FROM documents""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +27,25 @@ def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
     return schema
 
 
+def beside(df: DataFrame, keep: list[str], made: dict[str, str], make) -> DataFrame:
+    """The columns ``keep`` of ``df`` just as they are and the columns ``made`` (name to type), which ``make(batch)`` gives in order.
+
+    What is kept stays in Arrow: pandas would turn whole numbers beside a null into floating point.
+    """
+    schema = schema_with(df.select(*(F.col(f"`{c}`") for c in keep)), *made.items())
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            new = dict(zip(made, make(batch), strict=True))
+            columns = [pa.array(new[f.name], kinds.field(f.name).type) if f.name in new else batch.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words as UTF-8; ``bytes.split`` breaks at exactly the six characters of :data:`WORD_BREAK`."""
     return text.encode().split() if text else []

@@ -17,11 +17,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized
+from .common import beside, durable, sized
 from .sentencepiece_bpe import model as piece_model
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,26 +107,25 @@ def base_figures(text: str) -> tuple[list[bytes], int, int, int, int]:
 def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
     """Base and fertility figures of every row, with its language."""
 
-    def run(batches):
+    def figures(batch):
         pieces, bytewise = piece_model(piece_path), byte_level(byte_path)
-        for pdf in batches:
-            rows, texts = [], [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for text, encoded in zip(texts, pieces.encode(texts), strict=True):  # the new words of many texts in one go
-                words, chars, symbols, lines, repeats = base_figures(text)
-                ids = np.frombuffer(encoded, "<u4")[1:-1]
-                n = len(ids)
-                if n:
-                    counts = np.bincount(ids)
-                    p = counts[counts > 0] / n
-                    share, entropy = float(pieces.is_byte[ids].mean()), float(-(p * np.log2(p)).sum())
-                    rows.append((len(words), chars, symbols, lines, repeats, n, chars / n, chars / max(1, bytewise.count(words)), share, entropy))
-                else:
-                    rows.append((len(words), chars, symbols, lines, repeats, 0, 0.0, 0.0, 0.0, 0.0))
-            yield pd.concat([pdf[["doc_id", "lang"]].reset_index(drop=True), pd.DataFrame(rows, columns=FIGURES)], axis=1)
+        rows, texts = [], [t or "" for t in batch.column("text").to_pylist()]
+        for text, encoded in zip(texts, pieces.encode(texts), strict=True):  # the new words of many texts in one go
+            words, chars, symbols, lines, repeats = base_figures(text)
+            ids = np.frombuffer(encoded, "<u4")[1:-1]
+            n = len(ids)
+            if n:
+                counts = np.bincount(ids)
+                p = counts[counts > 0] / n
+                share, entropy = float(pieces.is_byte[ids].mean()), float(-(p * np.log2(p)).sum())
+                rows.append((len(words), chars, symbols, lines, repeats, n, chars / n, chars / max(1, bytewise.count(words)), share, entropy))
+            else:
+                rows.append((len(words), chars, symbols, lines, repeats, 0, 0.0, 0.0, 0.0, 0.0))
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in FIGURES]
 
     types = ["long"] * 6 + ["double"] * 4
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} {t}" for c, t in zip(FIGURES, types, strict=True))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInPandas(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    return beside(rows, ["doc_id", "lang"], dict(zip(FIGURES, types, strict=True)), figures)
 
 
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "piece_chars", "byte_chars", "byte_share", "entropy"]

@@ -23,10 +23,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
 _NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -267,10 +268,9 @@ def _heading(e: Element | None) -> bool:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
-    def run(batches):
-        for pdf in batches:
-            texts = [main_text(h if isinstance(h, str) else None) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def articles(batch):
+        texts = [main_text(h) for h in batch.column("html").to_pylist()]
+        return texts, [len(t) for t in texts]
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return beside(rows, ["page_id", "url"], {"text": "string", "n_chars": "long"}, articles)

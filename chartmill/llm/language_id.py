@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, schema_with
+from .common import beside, blocks
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams.
@@ -228,19 +228,29 @@ class Labeller:
         return out
 
 
+def predictor(model: dict):
+    """``Labeller(model).predict``, with the labeller made when a task first needs it and kept for its batches."""
+    held: list[Labeller] = []
+
+    def predict(texts):
+        if not held:
+            held.append(Labeller(model))
+        return held[0].predict(texts)
+
+    return predict
+
+
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred, score and spans (array of lang and words), in place of any columns of these names."""
 
-    def run(batches):
-        labeller = Labeller(model)
-        for pdf in batches:
-            found = labeller.predict([t if isinstance(t, str) else None for t in pdf[text]])
-            added = {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "spans": [[{"lang": a, "words": b} for a, b in f[2]] for f in found]}
-            yield pdf.assign(**added)[names]
+    predict = predictor(model)
+
+    def labels(batch):
+        found = predict(batch.column(text).to_pylist())
+        return [f[0] for f in found], [f[1] for f in found], [[{"lang": a, "words": b} for a, b in f[2]] for f in found]
 
-    schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"), ("spans", "array<struct<lang:string,words:long>>"))
-    names = schema.names
-    return docs.mapInPandas(run, schema)
+    added = {"lang_pred": "string", "score": "double", "spans": "array<struct<lang:string,words:long>>"}
+    return beside(docs, [c for c in docs.columns if c not in added], added, labels)
 
 
 def remainder(by: int) -> F.Column:
@@ -253,13 +263,13 @@ def identify_held_out(docs: DataFrame) -> DataFrame:
     model = learn(docs.where(~held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
 
-    def run(batches):
-        labeller = Labeller(model)
-        for pdf in batches:
-            found = labeller.predict([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+    predict = predictor(model)
+
+    def labels(batch):
+        found = predict(batch.column("text").to_pylist())
+        return [f[0] for f in found], [f[1] for f in found]
 
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return beside(rows, ["doc_id", "held_out"], {"lang_pred": "string", "score": "double"}, labels)
 
 
 def keep_identified(docs: DataFrame, model: dict, share: float = 0.5) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, durable, release, words_of, written
+from .common import beside, blocks, discard, durable, release, words_of, written
 from .components import connected_components
 from .simhash import _LOWER, link_edges, row_check, row_key, rows_of
 from .substring import hashes_of
@@ -106,18 +106,16 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(common_counts(docs, size))
     up, down = SHARE
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for found in shingle_sets(pdf["text"].tolist(), size):
-                n = len(found)
-                order = np.argsort(counts.value[cells_of(found)], kind="stable")[: n - -(-up * n // down) + 1]
-                out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, simhash_of(found).view(np.int64), found[order].view(np.int64)))
-            frame = pd.DataFrame(out, columns=["node", "n", "fp", "prefix"])
-            yield frame.assign(**{c: pdf[c].to_numpy() for c in ("doc_id", "k", "k2")})[["doc_id", "k", "k2", "node", "n", "fp", "prefix"]]
+    def sets(batch):
+        out = []
+        for found in shingle_sets(batch.column("text").to_pylist(), size):
+            n = len(found)
+            order = np.argsort(counts.value[cells_of(found)], kind="stable")[: n - -(-up * n // down) + 1]
+            out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, simhash_of(found).view(np.int64), found[order].view(np.int64)))
+        return [[o[i] for o in out] for i in range(4)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"), row_check().alias("k2"))
-    return rows.mapInPandas(run, "doc_id long, k long, k2 long, node long, n long, fp long, prefix array<long>")
+    return beside(rows, ["doc_id", "k", "k2"], {"node": "long", "n": "long", "fp": "long", "prefix": "array<long>"}, sets)
 
 
 def fits(a, b):

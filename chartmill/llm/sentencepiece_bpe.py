@@ -18,11 +18,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, schema_with
+from .common import beside, blocks
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
@@ -201,31 +200,22 @@ def model(path: str) -> Bpe:
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``token_ids`` (binary, 32-bit little-endian) and ``decoded``, in place of any columns of these names."""
 
-    def run(batches):
+    def both(batch):
         bpe = model(path)
-        for pdf in batches:
-            ids = bpe.encode([t if isinstance(t, str) else None for t in pdf[text]])
-            yield pdf.assign(token_ids=ids, decoded=[bpe.decode(i) for i in ids])[names]
+        ids = bpe.encode(batch.column(text).to_pylist())
+        return ids, [bpe.decode(i) for i in ids]
 
-    schema = schema_with(docs, ("token_ids", "binary"), ("decoded", "string"))
-    names = schema.names
-    return docs.mapInPandas(run, schema)
+    added = {"token_ids": "binary", "decoded": "string"}
+    return beside(docs, [c for c in docs.columns if c not in added], added, both)
 
 
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
 
-    def run(batches):
+    def digests(batch):
         bpe = model(path)
-        for pdf in batches:
-            ids = bpe.encode([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "n_tokens": [len(i) // 4 for i in ids],
-                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids],
-                }
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids = bpe.encode(batch.column("text").to_pylist())
+        return [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return beside(rows, ["doc_id"], {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, digests)

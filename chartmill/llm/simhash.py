@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, words_of
+from .common import beside, durable, words_of
 from .components import connected_components
 
 #: Fingerprints of a bucket that one comparison takes; larger buckets are compared chunk by chunk.
@@ -57,13 +57,11 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, ``fp`` (signed) and the keys of each row."""
 
-    def run(batches):
-        for pdf in batches:
-            values = [fingerprint(t if isinstance(t, str) else None, size) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(values, np.uint64).view(np.int64), "k": pdf["k"], "k2": pdf["k2"]})
+    def prints(batch):
+        return [np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"), row_check().alias("k2"))
-    return rows.mapInPandas(run, "doc_id long, fp long, k long, k2 long")
+    return beside(rows, ["doc_id", "k", "k2"], {"fp": "long"}, prints)
 
 
 def row_key():

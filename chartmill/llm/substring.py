@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import discard, release, words_of, written
+from .common import beside, discard, release, words_of, written
 
 SEED = 8  # words of a seed
 #: Words of a reference shard, about, and repeated words that one task streams for a shard.
@@ -342,13 +342,12 @@ def removal_digest(docs: DataFrame, size: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     marked = mark_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size).select(F.col("rest")["doc_id"].alias("doc_id"), "text", "spans")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                words = words_of(text)
-                kept = kept_words(words, merged(spans))
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame({"doc_id": pd.array([o[0] for o in out], "Int64"), **{c: [o[i] for o in out] for i, c in ((1, "n_words"), (2, "n_removed"), (3, "kept_sha256"))}})
+    def digests(batch):
+        out = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            words = words_of(text)
+            kept = kept_words(words, merged(spans))
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return [[o[i] for o in out] for i in range(3)]
 
-    return marked.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return beside(marked, ["doc_id"], {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}, digests)

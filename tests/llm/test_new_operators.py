@@ -215,3 +215,34 @@ def test_least_in_pieces(monkeypatch):
     h[100:140] = h[100]
     want = [int(np.argmin(h[a : a + 64])) + a for a in range(3000 - 63)]
     assert suffix_array.least(h, 64).tolist() == want
+
+
+LARGE = [2**60 + 1, None, 2**60 + 3]
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids of more than 53 bits stay whole in every operator that runs Python."""
+    import public_tokenizers
+
+    from chartmill.llm import fertility, html_text, language_id, near_copies, sentencepiece_bpe, simhash, substring
+
+    said = ["one two three four five six seven eight nine ten", "eins zwei drei vier", "uno dos tres cuatro"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(LARGE, said, strict=True)], SCHEMA).coalesce(1)
+    pages = spark.createDataFrame([(i, "u", f"<p>{t}</p>") for i, t in zip(LARGE, said, strict=True)], "page_id long, url string, html string").coalesce(1)
+    pieces, ranks = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model = language_id.learn(docs)
+    found = {
+        "op1": fertility.quality(docs, pieces, ranks), "op2": substring.removal_digest(docs), "op6": sentencepiece_bpe.encode_digest(docs, pieces), "op6 rows": sentencepiece_bpe.encode_decode(docs, pieces),
+        "op7": html_text.extract(pages).withColumnRenamed("page_id", "doc_id"), "op8": language_id.identify_held_out(docs), "op8 rows": language_id.identify(docs, model), "op9": simhash.near_duplicates(docs),
+        "op11": suffix_array.removal_digest(docs), "stage": near_copies.prefixes(docs, 5), "kept": near_copies.keep_one_each(docs), "rows": suffix_array.remove_repeats(docs),
+    }
+    for name, out in found.items():
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(LARGE, key=str), name
+
+
+def test_the_smallest_large_id_stays(spark):
+    from chartmill.llm import near_copies
+
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(2**60 + 3, text, None, None, None), (None, "other words are here", None, None, None), (2**60 + 1, text, None, None, None)], SCHEMA).coalesce(1)
+    assert {r["doc_id"] for r in near_copies.keep_one_each(docs).collect()} == {None, 2**60 + 1}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartmill.operators.lineage import numbered
+
 
 def rank_values(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """For each share p the element at place (n - 1) p, rounded half to even, of the sorted values of a group, as columns p<percent>.
@@ -57,6 +59,41 @@ def compare_runs(left: DataFrame, right: DataFrame, key: str, score: str, failed
     )
 
 
+#: Of the draws: a prime below 2^31, so that squares stay within 63 bits. Values that may be broadcast.
+PRIME, BROADCAST = 2_147_483_647, 1_000_000
+
+
+def drawn(replicate: Column, place: Column, n: Column) -> Column:
+    """A number from 0 to n - 1, the same in every run: a few squares modulo a prime of a replicate's number and a place in it."""
+    y = (replicate * 48271 + place * 40692 + 12345) % PRIME
+    for more in (F.lit(7), replicate, place):
+        y = (y * y + more) % PRIME
+    return y % n
+
+
+def bootstrap_interval(df: DataFrame, value: str, order: list[str], samples: int = 1000) -> DataFrame:
+    """One row (n, mean, low, high): the mean of the values and the 95 % interval of the means of ``samples`` resamplings with replacement.
+
+    Values are numbered in ``order``; a replicate draws n of these numbers. Draws are counted by replicate and number before they meet the values, so no
+    replicate and no value is bound to one task. Up to :data:`BROADCAST` values go to the draws instead. Nulls are no values.
+    """
+    spark = df.sparkSession
+    values, n = numbered(df.where(F.col(value).isNotNull()).select(*order, F.col(value).cast("double").alias("_v")).orderBy(*order), "_place")
+    if not n:
+        return spark.createDataFrame([(0, None, None, None)], "n long, mean double, low double, high double")
+    each = spark.range(n * samples).select(F.floor(F.col("id") / n).alias("_b"), (F.col("id") % n).alias("_i"))
+    draws = each.select("_b", drawn(F.col("_b"), F.col("_i"), F.lit(n)).alias("_place"))
+    if n <= BROADCAST:
+        met = draws.join(F.broadcast(values.select("_place", "_v")), "_place").withColumn("_n", F.lit(1))
+    else:
+        met = draws.groupBy("_b", "_place").agg(F.count("*").alias("_n")).join(values.select("_place", "_v"), "_place")
+    means = F.array_sort(F.collect_list("_m"))  # one number for each replicate
+    interval = met.groupBy("_b").agg((F.sum(F.col("_v") * F.col("_n")) / n).alias("_m")).agg(means.alias("_ms"))
+    mean = values.agg(F.round(F.avg("_v"), 6).alias("mean"))
+    at = lambda share: F.round(F.col("_ms")[int(share * (samples - 1))], 6)
+    return interval.join(F.broadcast(mean)).select(F.lit(n).cast("long").alias("n"), "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+
+
 def metric_means(df: DataFrame, metrics: str) -> DataFrame:
     """(metric, n, mean): means over all keys of a map column, without nulls and NaN."""
     each = df.select(F.explode(metrics).alias("metric", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))

@@ -62,6 +62,64 @@ def cosine(a, b):
     return F.when(norm == 0, 0.0).otherwise(total(pairs) / norm)
 
 
+#: Queries of one block, and rows that meet a block of queries in one task.
+QUERY_BLOCK, ROW_BLOCK = 4_096, 50_000
+
+
+def cosine_top(docs: DataFrame, queries: DataFrame, k: int, key: str | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank) of the ``k`` nearest vectors of each query: ``docs`` has doc_id and vector, ``queries`` qid and vector.
+
+    Blocks of queries meet parts of the rows as matrices; each task returns what can be among the first ``k`` of its part, and the parts are ranked together,
+    by the score to six places, then by doc_id. A row of the query's own id doesn't count, nor does a score of zero and less. With ``key``
+    only the best row of each key counts (rows without a key each for themselves). Null entries are zeros, shorter vectors are filled up with them.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, score double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def matrix(column, width: int) -> np.ndarray:
+        out = np.zeros((len(column), width))
+        for i, v in enumerate(column.to_pylist()):
+            v = np.array([0.0 if x is None else x for x in v or []])
+            norm = np.sqrt((v * v).sum())
+            if norm:
+                out[i, : len(v)] = v / norm
+        return out
+
+    def near(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not all("vector" in side.column_names and side.num_rows for side in (rows, asked)):  # a side without rows comes without columns
+            return arrow.empty_table()
+        width = max(len(v or []) for c in (rows["vector"], asked["vector"]) for v in c.to_pylist())
+        scores = matrix(asked["vector"], width) @ matrix(rows["vector"], width).T
+        ids, own = rows["doc_id"].to_numpy(), asked["qid"].to_numpy()
+        scores[own[:, None] == ids[None, :]] = -1
+        best = scores
+        if key is not None:  # the best of each key takes a place, the others none
+            kinds = np.unique([f"k{x}" if x is not None else f"r{i}" for i, x in enumerate(rows["key"].to_pylist())], return_inverse=True)[1]
+            order = np.argsort(kinds, kind="stable")
+            best = np.maximum.reduceat(scores[:, order], np.flatnonzero(np.diff(kinds[order], prepend=-1)), axis=1)
+        last = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(best), -np.inf)
+        q, d = np.nonzero((scores >= last[:, None] - 2e-6) & (scores > 0))  # whatever may tie to six places
+        return pa.table({"qid": asked["qid"].take(pa.array(q)), "doc_id": rows["doc_id"].take(pa.array(d)), "key": rows["key"].take(pa.array(d)), "score": pa.array(scores[q, d])})
+
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-docs.count() // ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = docs.select("doc_id", "vector", (F.col(key) if key else F.lit(None)).cast("string").alias("key"), part("doc_id", parts).alias("_p"), every(blocks).alias("_b"))
+    asked = queries.select("qid", "vector", part("qid", blocks).alias("_b"), every(parts).alias("_p"))
+    asked = asked.toDF(*asked.columns)  # names of its own, as queries may come from the rows
+    found = rows.groupBy("_b", "_p").cogroup(asked.groupBy("_b", "_p")).applyInArrow(near, schema)
+    if key:
+        of_key = Window.partitionBy("qid", "key").orderBy(F.desc(F.round("score", 6)), "doc_id")
+        found = found.withColumn("_r", F.when(F.col("key").isNotNull(), F.row_number().over(of_key)).otherwise(1)).where("_r = 1")
+    return ranked(found.select("qid", "doc_id", "score"), k)
+
+
 def ranked(scores: DataFrame, k: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 within each query: greater scores (to six places) first, then smaller ids."""
     order = Window.partitionBy(*(by or ["qid"])).orderBy(F.desc("score"), "doc_id")

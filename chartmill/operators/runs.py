@@ -94,6 +94,13 @@ def bootstrap_interval(df: DataFrame, value: str, order: list[str], samples: int
     return interval.join(F.broadcast(mean)).select(F.lit(n).cast("long").alias("n"), "mean", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def rolled_up(df: DataFrame, path: str, value: str, separator: str = "/") -> DataFrame:
+    """(path, depth, n, total): the sums of everything at and below each path; "" is the root. Sums are taken before the shuffle; a null path lies at the root."""
+    steps = F.filter(F.split(F.coalesce(path, F.lit("")), separator), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), separator).alias("path"), k.alias("depth")))
+    return df.select(F.explode(above).alias("p"), F.col(value).alias("v")).groupBy("p.path", "p.depth").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
 def metric_means(df: DataFrame, metrics: str) -> DataFrame:
     """(metric, n, mean): means over all keys of a map column, without nulls and NaN."""
     each = df.select(F.explode(metrics).alias("metric", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))

@@ -1,4 +1,4 @@
-"""Chunks of whole documents, and the bootstrap interval of two runs' differences."""
+"""Chunks of whole documents, the bootstrap interval of two runs' differences, and sums along paths."""
 
 from __future__ import annotations
 
@@ -29,6 +29,7 @@ QUERIES = {
     "scl_chunks": lambda spark, sf: _docs(spark, sf).select("doc_id", F.posexplode(K.packed(F.col("text"))).alias("place", "chunk")),
     "scl_line_chunks": lambda spark, sf: _docs(spark, sf).select("doc_id", F.explode(K.line_chunks(F.col("text"), 400, 3)).alias("c")).select("doc_id", F.col("c.first").alias("begin"), F.col("c.last").alias("until"), F.col("c.text").alias("chunk")),
     "scl_sections": _sections,
+    "run_tree": lambda spark, sf: R.rolled_up(spark.read.parquet(f"{sf}/part.parquet").withColumn("path", F.concat_ws("/", "p_brand", F.regexp_replace("p_type", " ", "/"), F.col("p_size").cast("string"))), "path", "p_size"),
     "run_bootstrap": lambda spark, sf: R.bootstrap_interval(_deltas(spark, sf), "delta", ["o_orderkey"], 1000),
 }
 
@@ -54,6 +55,8 @@ ends AS MATERIALIZED (
   LEFT JOIN sums b ON b.r = a.r AND b.i >= a.i AND b.s - f.before <= 400 GROUP BY a.r, a.i),
 chain AS (SELECT r, a, b FROM ends WHERE a = 0 UNION ALL SELECT e.r, e.a, e.b FROM chain c JOIN lines l ON l.r = c.r JOIN ends e ON e.r = c.r AND c.b < len(l.l) AND e.a = greatest(c.b - 3, c.a + 1))
 SELECT doc_id, a + 1 AS begin, b AS until, chunk FROM (SELECT doc_id, a, b, regexp_replace(array_to_string(l[a + 1:b], chr(10)), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS chunk FROM chain JOIN lines USING (r)) WHERE chunk <> ''""",
+    "run_tree": """WITH p AS (SELECT p_size, list_filter(string_split(concat_ws('/', p_brand, replace(p_type, ' ', '/'), CAST(p_size AS VARCHAR)), '/'), lambda x: x <> '') AS s FROM part)
+SELECT array_to_string(s[1:depth], '/') AS path, depth, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM (SELECT p_size, s, unnest(generate_series(0, len(s))) AS depth FROM p) GROUP BY 1, 2""",
     "run_bootstrap": f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, round(CASE o_custkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN -0.02 ELSE 0.0 END * o_totalprice / 100000, 6)::DOUBLE AS delta FROM orders WHERE o_orderkey % 7 <> 0),
 n AS (SELECT count(*) AS n FROM v), d AS (SELECT b, i, n, (b * 48271 + i * 40692 + 12345) % {R.PRIME} AS y FROM n, range(1000) x(b), LATERAL (SELECT place AS i FROM v)),
 e AS (SELECT b, n, (((((y * y + 7) % {R.PRIME}) * ((y * y + 7) % {R.PRIME}) + b) % {R.PRIME}) * ((((y * y + 7) % {R.PRIME}) * ((y * y + 7) % {R.PRIME}) + b) % {R.PRIME}) + i) % {R.PRIME} % n AS place FROM d),

@@ -25,9 +25,8 @@ def _top(scores):
 def _vectors(spark, sf):
     """Queries: every vector whose id is divisible by 20, against all vectors."""
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    scores = rows.join(q, rows["vec_id"] != q["qid"]).select("qid", F.col("vec_id").alias("doc_id"), R.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return R.ranked(scores, 5).select("qid", "doc_id", "rank")
+    docs, queries = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return R.cosine_top(docs, queries, 5).select("qid", "doc_id", "rank")
 
 
 def _fused(spark, sf):

@@ -42,6 +42,74 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     raise TableReadError(f"no encoding fits {path}")
 
 
+#: Delimiters that are told apart, the first on a tie of none, and characters that are looked at.
+DELIMITERS, SNIFFED = [",", ";", "\t", "|"], 4096
+
+
+def dialect_of(content: bytes) -> tuple[str, str]:
+    """(encoding, delimiter) of one file: the first encoding that decodes all of it, and the delimiter that splits its first lines most evenly into most fields."""
+    import csv
+
+    for encoding in ENCODINGS:
+        try:
+            text = content.decode(encoding).removeprefix("\ufeff")
+            break
+        except UnicodeDecodeError:
+            pass
+    whole = text[:SNIFFED].rpartition("\n")[0] or text[:SNIFFED]
+
+    def evenness(delimiter: str) -> tuple[int, int]:
+        widths = [len(row) for row in csv.reader(whole.splitlines(), delimiter=delimiter) if row]
+        return (1, widths[0]) if widths and len(set(widths)) == 1 and widths[0] > 1 else (0, max(widths, default=0) if len(set(widths)) > 1 else 0)
+
+    best = max(DELIMITERS, key=evenness)  # the first of equals
+    return encoding, best if evenness(best) > (0, 0) else ","
+
+
+def read_files(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+    """Rows of CSV files as text columns, each file read by its own encoding and delimiter, with ``file``, ``encoding`` and ``delimiter``.
+
+    Columns are matched by name; the union of all headers (or ``header``) gives the columns, and what a file lacks is null. A file is the unit of a task, so a folder
+    of any number of files is read in parallel. Short rows are filled with nulls, further cells of long ones go; empty files have no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def parsed(content: bytes):
+        import csv
+        import io
+
+        encoding, delimiter = dialect_of(content)
+        rows = csv.reader(io.StringIO(content.decode(encoding).removeprefix("\ufeff"), newline=""), delimiter=delimiter)
+        return encoding, delimiter, rows
+
+    def names(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [[n.strip() for n in next(parsed(c)[2], [])] for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(enumerate(f)) for f in found], pa.list_(pa.struct([("place", pa.int32()), ("name", pa.string())])))], ["names"])
+
+    def cells(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                encoding, delimiter, rows = parsed(content)
+                own = [n.strip() for n in next(rows, [])]
+                at = {n: own.index(n) for n in columns if n in own}
+                values = [r for r in rows if r]
+                for a in range(0, len(values), 10_000):
+                    some = values[a : a + 10_000]
+                    made = [pa.array([r[at[n]] if n in at and at[n] < len(r) else None for r in some], pa.string()) for n in columns]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(some)) for x in (where, encoding, delimiter)), *made], ["file", "encoding", "delimiter", *columns])
+
+    if header is None:
+        seen = files.mapInArrow(names, "names array<struct<place:int,name:string>>").select(F.explode("names").alias("n")).groupBy("n.name").agg(F.min("n.place").alias("place"))
+        header = [r["name"] for r in seen.orderBy("place", "name").collect()]  # names of columns alone
+    columns = [n for n in header if n not in ("file", "encoding", "delimiter")]
+    return files.mapInArrow(cells, "file string, encoding string, delimiter string" + "".join(f", `{n.replace('`', '``')}` string" for n in columns))
+
+
 def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":

@@ -125,3 +125,99 @@ def vector_leaders(df: DataFrame, group: str, key: str, vector: str, threshold:
             found = found.unionByName(after.where("duplicate_of is not null").select("_key", "duplicate_of"))
             rest = after.where("duplicate_of is null").drop("duplicate_of")
     return df.join(found, df[key] == found["_key"], "left").drop("_key")
+
+
+#: The thresholds of a sweep.
+SWEEP = [0.90, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98]
+
+
+def threshold_sweep(df: DataFrame, group: str, key: str, vector: str, thresholds: list[float] | None = None, block: int = 1200) -> DataFrame:
+    """(key, duplicates): for each threshold, in the order given, the first earlier leader of the row's group that is as near, or null; as :func:`vector_leaders` finds it for that one.
+
+    The greedy runs of all thresholds go over the rows together: a similarity is computed once, and only with rows that lead at some threshold. Groups are cut into blocks
+    of about ``block`` rows by key; a block is led, then the group's later rows meet its leaders in salted parts. A row without a key or a vector is no duplicate and no leader.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    bars = np.array(thresholds or SWEEP)
+    nothing = F.expr(f"cast(array_repeat(null, {len(bars)}) as array<long>)")
+
+    def unit(column) -> np.ndarray:
+        v = np.array(column.to_pylist(), np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def own_type(rows: pa.Table, of: list) -> pa.Table:
+        return rows.set_column(rows.column_names.index("duplicates"), "duplicates", pa.array(of, pa.list_(pa.int64()))).select(names).cast(arrow)
+
+    def lead(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_key")
+        v, keys, of = unit(rows["_v"]), rows["_key"].to_pylist(), rows["duplicates"].to_pylist()
+        leads = np.zeros((len(v), len(bars)), bool)
+        some: list[int] = []  # rows that lead at some threshold
+        for i in range(len(v)):
+            near = (v[some] @ v[i])[:, None] >= bars if some else np.zeros((0, len(bars)), bool)
+            near &= leads[some]
+            for t in np.flatnonzero(near.any(axis=0)):
+                if of[i][t] is None:
+                    of[i][t] = keys[some[int(near[:, t].argmax())]]
+            leads[i] = [x is None for x in of[i]]
+            if leads[i].any():
+                some.append(i)
+        return own_type(rows, of)
+
+    def follow(rest: pa.Table, heads: pa.Table) -> pa.Table:
+        if not all("_v" in side.column_names and side.num_rows for side in (rest, heads)):  # a side without rows comes without columns
+            return own_type(rest, rest["duplicates"].to_pylist()) if "_v" in rest.column_names else arrow.empty_table()
+        heads = heads.sort_by("_key")
+        keys, of = heads["_key"].to_pylist(), rest["duplicates"].to_pylist()
+        leads = np.array([[x is None for x in d] for d in heads["duplicates"].to_pylist()])
+        led = unit(heads["_v"])
+        for row, v in zip(of, unit(rest["_v"]), strict=True):
+            near = ((led @ v)[:, None] >= bars) & leads
+            for t in np.flatnonzero(near.any(axis=0)):
+                if row[t] is None:
+                    row[t] = keys[int(near[:, t].argmax())]
+        return own_type(rest, of)
+
+    rows = df.select(F.col(group).alias("_g"), F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_v")).where("_key is not null and _v is not null")
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // block))
+    n = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")  # blocks of the group
+    places = F.percentile_approx("_key", [i / blocks for i in range(1, blocks)] or [0.5], 100_000).alias("_c")
+    cuts = rows.groupBy(F.col("_g").alias("_h")).agg(places, F.count("*").alias("n"))
+    before = F.when(n == 1, 0).otherwise(F.size(F.filter("_c", lambda c: c < F.col("_key"))))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * block))).cast("int")
+    at = rows.join(cuts, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_key", "_v", before.alias("_b"), F.pmod(F.xxhash64("_key"), salts).cast("int").alias("_s"), salts.alias("_n"), nothing.alias("duplicates"))
+    names, schema = at.columns, at.schema
+    arrow = to_arrow_schema(schema)
+    rest, found = _kept(at), None
+    for b in range(blocks):
+        led = _kept(rest.where(F.col("_b") == b).groupBy("_g").applyInArrow(lead, schema))
+        found = led if found is None else found.unionByName(led)
+        if b + 1 < blocks:
+            heads = led.where(F.exists("duplicates", lambda x: x.isNull())).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+            later = rest.where(F.col("_b") > b).groupBy("_g", "_s").cogroup(heads.groupBy("_g", "_s"))
+            rest = _kept(later.applyInArrow(follow, schema))
+    out = found.select(F.col("_key").alias(key), "duplicates")
+    other = df.where(F.col(key).cast("long").isNull() | F.col(vector).isNull()).select(F.col(key).cast("long").alias(key), nothing.alias("duplicates"))
+    return out.unionByName(other)
+
+
+def sweep_report(swept: DataFrame, key: str, must_go: DataFrame, must_stay: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
+    """(threshold, kept, removed, missed, lost, status, recommended) of a sweep against rows whose fate is known, by their keys.
+
+    A threshold passes (PASS, else WARN) if no row of ``must_go`` is kept and none of ``must_stay`` removed; the greatest that passes is recommended.
+    """
+    bars = thresholds or SWEEP
+    fates = [F.broadcast(d.select(key).distinct().withColumn(n, F.lit(True))) if d.count() <= 1_000_000 else d.select(key).distinct().withColumn(n, F.lit(True)) for d, n in ((must_go, "_go"), (must_stay, "_stay"))]
+    known = swept.join(fates[0], key, "left").join(fates[1], key, "left")
+    each = known.select("_go", "_stay", F.posexplode(F.transform("duplicates", lambda d: d.isNotNull())).alias("_t", "_removed"))
+    out = each.groupBy("_t").agg(
+        F.count_if(~F.col("_removed")).alias("kept"), F.count_if("_removed").alias("removed"), F.count_if(F.col("_go") & ~F.col("_removed")).alias("missed"), F.count_if(F.col("_stay") & F.col("_removed")).alias("lost")
+    )
+    out = out.withColumn("threshold", F.array(*map(F.lit, bars))[F.col("_t")]).withColumn("status", F.when((F.col("missed") == 0) & (F.col("lost") == 0), "PASS").otherwise("WARN"))
+    best = F.max(F.when(F.col("status") == "PASS", F.col("threshold"))).over(Window.partitionBy())  # one row for each threshold
+    return out.select("threshold", "kept", "removed", "missed", "lost", "status", F.coalesce(F.col("threshold") == best, F.lit(False)).alias("recommended"))

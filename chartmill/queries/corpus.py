@@ -12,9 +12,19 @@ def _docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+
+def _sweep(spark, sf):
+    """Every row of a vector that an earlier row of its label has must go at every threshold; the first row of each label must stay."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    copies = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"))
+    again = rows.join(copies, ["label", "embedding"]).where("vec_id > first")
+    return C.sweep_report(C.threshold_sweep(rows, "label", "vec_id", "embedding"), "vec_id", again, rows.groupBy("label").agg(F.min("vec_id").alias("vec_id")))
+
+
 QUERIES = {
     "ded_exact": lambda spark, sf: C.first_of_key(_docs(spark, sf), C.content_key(F.col("lang"), F.col("text"), most=None), ["doc_id"]).select("doc_id"),
     "ded_vectors": lambda spark, sf: C.vector_leaders(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "vec_id", "embedding").select("vec_id", "duplicate_of"),
+    "ded_sweep": _sweep,
     "qta_by_source": lambda spark, sf: C.within_quota(_docs(spark, sf), "source", ["doc_id"], 25).select("doc_id", "source"),
     "spl_stratified": lambda spark, sf: C.split(_docs(spark, sf).select("doc_id", "lang"), "lang", "doc_id", 0.8),
     "flt_reasons": lambda spark, sf: _docs(spark, sf).groupBy(C.noise_reason(F.col("text"), 120, ["n a", "none"]).alias("reason"), "source").agg(F.count("*").alias("n")),

@@ -176,26 +176,35 @@ class Labeller:
         place = np.fromiter((self.index[w] for words in texts for w in words), np.int64, int(lengths.sum()))
         offsets = np.cumsum(lengths) - lengths
         by_length = np.argsort(-lengths, kind="stable")
-        start, longest = offsets[by_length], int(lengths.max(initial=0))
+        longest = int(lengths.max(initial=0))
         active = np.searchsorted(-lengths[by_length], -np.arange(longest), side="left")  # texts longer than t
+        ends = np.cumsum(active)
+        rank = np.empty(len(texts), np.int64)
+        rank[by_length] = np.arange(len(texts))
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        t_of = np.arange(len(place)) - offsets[doc]
+        step = (ends - active)[t_of] + rank[doc] if longest else t_of  # places of the words when they lie by t, then by length of text
+        words = np.empty(len(place), np.int64)
+        words[step] = place
         value = np.zeros((len(texts), self.size), np.float32)
-        back = np.zeros((len(place), self.size), np.int16)
-        own = np.arange(self.size, dtype=np.int16)
-        for t in range(longest):
-            at = start[: active[t]] + t
-            v = value[: active[t]]
-            best = v.argmax(1)
-            top = np.take_along_axis(v, best[:, None], 1) - SWITCH
-            stay = v >= top
-            back[at] = np.where(stay, own, best[:, None])
-            v = np.maximum(v, top) + self.scores[place[at]]
-            value[: active[t]] = v - v.max(1, keepdims=True)
-        state = value.argmax(1)
-        labels = np.zeros(len(place), np.int16)
-        for t in range(longest - 1, -1, -1):
-            at = start[: active[t]] + t
-            labels[at] = state[: active[t]]
-            state[: active[t]] = back[at, state[: active[t]]]
+        stay, best = np.empty((len(place), self.size), bool), np.empty(len(place), np.int16)
+        bar = np.float32(-SWITCH)  # the best value of every text is 0 at each t
+        spans = list(zip((ends - active).tolist(), ends.tolist(), active.tolist(), strict=True))
+        for a, b, n in spans:
+            v = value[:n]
+            v.argmax(1, out=(top := np.empty(n, np.intp)))
+            best[a:b] = top
+            np.greater_equal(v, bar, out=stay[a:b])
+            np.maximum(v, bar, out=v)
+            v += self.scores[words[a:b]]
+            v -= v.max(1, keepdims=True)
+        state = value.argmax(1).astype(np.int16)
+        found, own = np.empty(len(place), np.int16), np.arange(len(texts))
+        for a, b, n in reversed(spans):
+            s = state[:n]
+            found[a:b] = s
+            state[:n] = np.where(stay[a:b][own[:n], s], s, best[a:b])
+        labels = found[step]
         return labels, self.n_letters[place], self.scored[place]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int]]]]:

@@ -88,3 +88,41 @@ def picture_score(blank: Column, **criteria: Column) -> Column:
     total = sum(PICTURE.values())
     said = sum((F.greatest(F.lit(0), F.least(F.lit(2), criteria[c])) / 2 * w for c, w in PICTURE.items()), F.lit(0.0))
     return F.round(said / F.when(blank, total + 1000).otherwise(total), 6)
+
+
+# Marks and other words for them that a request may use.
+MARK_WORDS = [
+    "bar", "circle", "square", "tick", "line", "area", "point", "geoshape", "rule", "text", "boxplot", "errorband", "errorbar",
+    "donut", "map", "pie", "heatmap", "dot", "array", "scatterplot", "scatter", "histogram", "column", "row", "cluster",
+]
+#: Weight of what is as it should be, of a blank chart, of the encoding, of a mark that wasn't asked for, and the encoding's loss by a needless transform.
+SLIGHT, BLANK, ENCODING, UNASKED_MARK, NEEDLESS = 0.005, 1000.0, 3.0, 0.5, 0.25
+
+
+def asks_for_mark(request: Column) -> Column:
+    """A run of Latin letters in the request is a mark or another word for one, in any case; a null request asks for none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(request, F.lit(""))), F.lit("[a-z]+"), 0)
+    return F.arrays_overlap(words, F.array(*map(F.lit, MARK_WORDS)))
+
+
+def composite_score(guess: Column, request: Column, drawable: Column, valid: Column, blank: Column, f: dict[str, Column], transforms: dict[str, Column]) -> Column:
+    """Weighted mean of a specification's parts, to six places: 0 if it is missing or can't be drawn.
+
+    ``f`` has the scores of encoding, mark and transform, ``transforms`` the numbers of transforms of the reference and the guess. What is in order weighs next to nothing,
+    an invalid schema as much as a part, a blank chart more than all parts together. Null conditions don't hold, null scores and numbers are zero.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    needless = none(transforms["reference"]) & ~none(transforms["guess"])
+    unused = none(transforms["reference"]) & none(transforms["guess"])
+    score = {k: F.coalesce(c, F.lit(0.0)) for k, c in f.items()}
+    parts = [  # (weight, share of it that is reached)
+        (F.lit(SLIGHT), F.lit(1.0)),
+        (F.when(yes(valid), SLIGHT).otherwise(1.0), yes(valid).cast("double")),
+        (F.when(yes(blank), BLANK).otherwise(SLIGHT), (~yes(blank)).cast("double")),
+        (F.when(needless, ENCODING * (1 - NEEDLESS)).otherwise(ENCODING), score["encoding"]),
+        (F.when(asks_for_mark(request), 1.0).otherwise(UNASKED_MARK), score["mark"]),
+        (F.when(unused, SLIGHT).otherwise(1.0), F.when(unused, 1.0).when(needless, 0.0).otherwise(score["transform"])),
+    ]
+    reached, whole = (sum(x[1:], x[0]) for x in ([w * share for w, share in parts], [w for w, _ in parts]))
+    return F.round(F.when(yes(drawable) & ~F.coalesce(F.trim(guess), F.lit("")).isin("", "{}", "null"), reached / whole).otherwise(0.0), 6)

@@ -46,7 +46,22 @@ def _picture(spark, sf):
     return part.select("p_partkey", S.picture_score(k % 10 == 0, **given).alias("score"))
 
 
+#: A part's specification, request, and what is known of them; both engines read these.
+_KNOWN = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '{{}}' WHEN 1 THEN NULL ELSE '{"mark":"bar"}' END AS guess,
+  CASE p_partkey % 6 WHEN 0 THEN 'Draw a BAR chart of ' || p_name WHEN 1 THEN 'Scatter-plot: sizes' WHEN 2 THEN 'bars and lines' WHEN 3 THEN NULL WHEN 4 THEN 'pie?' ELSE p_name END AS request,
+  p_partkey % 13 <> 0 AS drawable, CASE p_partkey % 4 WHEN 0 THEN NULL ELSE p_partkey % 4 = 1 END AS valid, p_partkey % 5 = 0 AS blank, p_size % 4 / 3.0 AS encoding, p_size % 3 / 2.0 AS mark,
+  CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 5 / 4.0 END AS transform, p_size % 2 AS of_reference, p_partkey % 3 AS of_guess FROM part""".replace("{{}}", "{}")
+
+
+def _composite(spark, sf):
+    known = spark.sql(_KNOWN.replace("FROM part", "FROM {part}").replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    f = {c: F.col(c).cast("double") for c in ("encoding", "mark", "transform")}
+    score = S.composite_score(*(F.col(c) for c in ("guess", "request", "drawable", "valid", "blank")), f, {"reference": F.col("of_reference"), "guess": F.col("of_guess")})
+    return known.select("p_partkey", score.alias("score"))
+
+
 QUERIES = {
+    "spc_composite": _composite,
     "spc_paths": _paths,
     "spc_full": _score(S.path_item, lambda: F.col("leaf")),
     "spc_key_values": _score(S.key_value_item, lambda: F.col("leaf")),
@@ -88,5 +103,9 @@ ORACLES = {
     "spc_transforms": _compared({"r1": _ITEM, "g1": _ITEM}, "leaf AND path LIKE '$.transform%'"),
     "spc_encodings": _compared({"r1": _ITEM, "g1": _ITEM, "r2": _ITEM, "g2": _SWAP}, "leaf AND path LIKE '$.encoding.%'", "CASE WHEN name IN ('type', 'timeUnit') THEN 0.5 ELSE 1.0 END", "2.0", _BOTH.format(op="max")),
     "spc_marks": _compared({"r1": "value", "g1": "value", "r2": _LOOSE, "g2": _LOOSE}, "leaf AND path = '$.mark'", final=_BOTH.format(op="avg")),
+    "spc_composite": f"""SELECT p_partkey, round(CASE WHEN guess IS NULL OR guess = '{{}}' OR NOT drawable THEN 0.0 ELSE (0.005 + CASE WHEN valid THEN 0.005 ELSE 0 END + CASE WHEN blank THEN 0 ELSE 0.005 END + we * encoding + wm * mark
+      + CASE WHEN of_reference > 0 THEN coalesce(transform, 0) WHEN of_guess > 0 THEN 0 ELSE 0.005 END) / (0.005 + CASE WHEN valid THEN 0.005 ELSE 1 END + CASE WHEN blank THEN 1000 ELSE 0.005 END + we + wm
+      + CASE WHEN of_reference = 0 AND of_guess = 0 THEN 0.005 ELSE 1 END) END, 6) AS score FROM (SELECT *, CASE WHEN of_reference = 0 AND of_guess > 0 THEN 2.25 ELSE 3.0 END AS we,
+      CASE WHEN regexp_matches(lower(coalesce(request, '')), '(^|[^a-z])({"|".join(S.MARK_WORDS)})([^a-z]|$)') THEN 1.0 ELSE 0.5 END AS wm FROM ({_KNOWN}))""",
     "spc_picture": "SELECT p_partkey, round((" + " + ".join(f"greatest(0, least(2, (p_partkey + {i}) % {i + 3} - 1)) / 2 * {w}" for i, w in enumerate(S.PICTURE.values())) + f") / CASE WHEN p_partkey % 10 = 0 THEN {sum(S.PICTURE.values()) + 1000} ELSE {sum(S.PICTURE.values())} END, 6) AS score FROM part",
 }

@@ -355,15 +355,20 @@ def top(df: DataFrame, k: int, sort: list[dict]) -> DataFrame:
     return df.orderBy(*_order(sort), *rest).limit(k)
 
 
-def layers(spec: dict, df: DataFrame, tables: dict[str, DataFrame] | None = None) -> list[DataFrame]:
-    """One plan for each view of ``layer``, ``concat``, ``hconcat`` or ``vconcat``, nested ones in order; transforms and encodings of the outer
-    specification hold for the inner ones, and a facet's fields (``row``, ``column``, ``facet``) are keys of its view like any other channel."""
+def flat(spec: dict) -> list[dict]:
+    """The views of ``layer``, ``concat``, ``hconcat`` or ``vconcat``, nested ones in order; transforms and encodings of the outer specification
+    hold for the inner ones, and a facet's fields (``row``, ``column``, ``facet``) are keys of its view like any other channel."""
     kinds = [k for k in ("layer", "concat", "hconcat", "vconcat") if k in spec]
     if not kinds:
-        return [view(spec, df, tables)]
+        return [spec]
     shared = {"transform": spec.get("transform", []), "encoding": spec.get("encoding", {})}
     out = []
     for inner in (x for k in kinds for x in spec[k]):
         own = {**inner, "transform": [*shared["transform"], *inner.get("transform", [])], "encoding": {**shared["encoding"], **inner.get("encoding", {})}}
-        out += layers(own, df, tables)
+        out += flat(own)
     return out
+
+
+def layers(spec: dict, df: DataFrame, tables: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """One plan for each view of ``flat``."""
+    return [view(s, df, tables) for s in flat(spec)]

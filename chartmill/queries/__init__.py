@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import charts, chunks, corpus, matching, profiles, retrieval, rules, runs, specs
+from . import charts, chunks, corpus, matching, profiles, retrieval, rules, runs, spec_checks, specs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _family in (charts, profiles, retrieval, corpus, runs, rules, specs, matching, chunks):
+for _family in (charts, profiles, retrieval, corpus, runs, rules, specs, matching, chunks, spec_checks):
     QUERIES |= _family.QUERIES
     ORACLES |= _family.ORACLES
 

@@ -58,7 +58,7 @@ class ByteLevel:
     def count(self, words: list[bytes]) -> int:
         """Tokens of the words, each with a space before it."""
         cache, encode = self.cache, self.encoding.encode_ordinary
-        if len(cache) > 250_000:
+        if len(cache) > 500_000:
             cache.clear()
         for w in {w for w in words if w not in cache}:  # a difference with the keys would walk the whole cache
             cache[w] = len(encode(" " + w.decode()))

@@ -26,7 +26,7 @@ from .common import beside, blocks
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 #: Characters of the words kept per Python worker, with what keeping a word costs; the store is emptied when it is full. Longer words aren't kept.
-CACHE_CHARS, WORD_COST, KEPT_CHARS = 30_000_000, 100, 200
+CACHE_CHARS, WORD_COST, KEPT_CHARS = 60_000_000, 100, 200
 #: Characters of text whose words are held at once.
 BLOCK_CHARS = 1_000_000
 
@@ -91,25 +91,21 @@ class Bpe:
         flat, word = known[place], np.repeat(np.arange(len(words)), lengths)
         char = np.arange(len(flat))  # the first character of each symbol
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, into = np.full(len(flat), NONE), np.zeros(len(flat), np.int64)  # of the pair that a symbol begins; kept from round to round
+        if len(flat) > 1:
+            rank[:-1], into[:-1] = self._rank(flat[:-1], flat[1:])
+            rank[:-1][word[:-1] != word[1:]] = NONE
         while len(flat):
-            rank = np.full(len(flat), NONE)
-            if len(flat) > 1:
-                rank[:-1], into = self._rank(flat[:-1], flat[1:])
-                rank[:-1][word[:-1] != word[1:]] = NONE
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
-            count = np.diff(np.r_[starts, len(flat)])
-            at_best = np.repeat(best, count)
+            at_best = np.repeat(best, np.diff(np.r_[starts, len(flat)]))
             open_word = at_best < NONE
             if not open_word.all():
                 done.append((word[~open_word], flat[~open_word], char[~open_word]))
                 keep = np.flatnonzero(open_word)
                 if not len(keep):
                     break
-                flat, word, char, rank, at_best = flat[keep], word[keep], char[keep], rank[keep], at_best[keep]
-                into = np.r_[into, 0][keep]
-            else:
-                into = np.r_[into, 0]
+                flat, word, char, rank, into, at_best = flat[keep], word[keep], char[keep], rank[keep], into[keep], at_best[keep]
             hits = np.flatnonzero(rank == at_best)
             # leftmost first: in a run of neighbouring hits every second one falls to the merge before it
             if len(hits) > 1:
@@ -137,17 +133,22 @@ class Bpe:
             flat[hits] = made
             gone = np.ones(len(flat), bool)
             gone[hits + 1] = False
-            flat, word, char = flat[gone], word[gone], char[gone]
+            flat, word, char, rank, into = flat[gone], word[gone], char[gone], rank[gone], into[gone]
+            at = hits - np.arange(len(hits))  # the places of the merged symbols, whose pairs are new, as are those of the symbols before them
+            at = np.concatenate([at[at > 0] - 1, at])
+            follower = np.minimum(at + 1, len(flat) - 1)
+            rank[at], into[at] = self._rank(flat[at], flat[follower])
+            rank[at[(at + 1 >= len(flat)) | (word[follower] != word[at])]] = NONE
         word, flat, char = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.argsort(char, kind="stable")  # by first character: words in order, symbols in order
         word, flat, char = word[order], flat[order], char[order]
         if (flat >= self.size).any():  # bytes of characters that are no piece
-            new_word, new_flat = [], []
-            for w, f, c in zip(word.tolist(), flat.tolist(), char.tolist(), strict=True):
-                parts = self.byte_ids[list(chr(points[c]).encode())].tolist() if f >= self.size else [f]
-                new_flat += parts
-                new_word += [w] * len(parts)
-            word, flat = np.array(new_word), np.array(new_flat)
+            other = flat >= self.size
+            written = [chr(c).encode() for c in points[char[other]].tolist()]
+            count = np.ones(len(flat), np.int64)
+            count[other] = np.fromiter(map(len, written), np.int64, len(written))
+            word, flat, other = np.repeat(word, count), np.repeat(flat, count), np.repeat(other, count)
+            flat[other] = self.byte_ids[np.frombuffer(b"".join(written), np.uint8)]
         stops = np.searchsorted(word, np.arange(len(words) + 1)) * 4
         data = flat.astype("<u4").tobytes()
         return [data[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]

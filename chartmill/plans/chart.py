@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartmill.operators import smoothing
+
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "count": lambda c: F.count("*"),
     "valid": lambda c: F.count(c),
@@ -269,6 +271,8 @@ def transform(df: DataFrame, t: dict, tables: dict[str, DataFrame]) -> DataFrame
         return df.orderBy(F.xxhash64(*df.columns)).limit(t["sample"])
     if "density" in t:
         return _density(df, t)
+    if "loess" in t:
+        return smoothing.loess(df, t["on"], t["loess"], t.get("groupby", []), t["neighbours"])
     if "extent" in t:
         return df.agg(F.min(t["extent"]).alias("min"), F.max(t["extent"]).alias("max"))
     if "regression" in t:

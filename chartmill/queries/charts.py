@@ -145,3 +145,9 @@ ORACLES |= {
       f AS (SELECT l_returnflag, {_part[0]} AS a, {_part[1]} AS b, {_part[2]} AS c FROM s)
       SELECT l_returnflag, round(a - 25 * b + 625 * c, 2) AS c0, round(b - 50 * c, 2) AS c1, round(c, 2) AS c2 FROM f""",
 }
+spec("vl_loess", "customer", """WITH near AS (
+  SELECT a.c_custkey, a.c_mktsegment, a.c_acctbal, CAST(b.c_acctbal AS DOUBLE) - a.c_acctbal AS far, CAST(b.c_nationkey AS DOUBLE) AS y, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(CAST(b.c_acctbal AS DOUBLE) - a.c_acctbal)) AS k FROM customer a JOIN customer b USING (c_mktsegment)),
+weighed AS (SELECT *, pow(1 - pow(abs(far) / max(abs(far)) OVER (PARTITION BY c_custkey), 3), 3) AS w FROM near WHERE k <= 20),
+means AS (SELECT c_custkey, any_value(c_mktsegment) AS c_mktsegment, any_value(CAST(c_acctbal AS DOUBLE)) AS c_acctbal, sum(w * far) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * far * y) / sum(w) AS mxy, sum(w * far * far) / sum(w) AS mxx FROM weighed GROUP BY c_custkey)
+SELECT c_mktsegment, c_acctbal, round(my - (mxy - mx * my) / (mxx - mx * mx) * mx, 4) AS loess FROM means""",
+     None, {"loess": "c_nationkey", "on": "c_acctbal", "groupby": ["c_mktsegment"], "neighbours": 20}, places=("loess",))

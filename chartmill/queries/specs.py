@@ -54,7 +54,8 @@ _KNOWN = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '{{}}' WHEN 1 THEN
 
 
 def _composite(spark, sf):
-    known = spark.sql(_KNOWN.replace("FROM part", "FROM {part}").replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'"), part=spark.read.parquet(f"{sf}/part.parquet"))
+    """The shares are doubles: Spark would divide decimals, and cut them at six places."""
+    known = spark.sql(_KNOWN.replace("FROM part", "FROM {part}").replace("3.0", "3D").replace("2.0", "2D").replace("4.0", "4D").replace('{"', '{{"').replace('"}', '"}}').replace("'{}'", "'{{}}'"), part=spark.read.parquet(f"{sf}/part.parquet"))
     f = {c: F.col(c).cast("double") for c in ("encoding", "mark", "transform")}
     score = S.composite_score(*(F.col(c) for c in ("guess", "request", "drawable", "valid", "blank")), f, {"reference": F.col("of_reference"), "guess": F.col("of_guess")})
     return known.select("p_partkey", score.alias("score"))

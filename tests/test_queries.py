@@ -222,3 +222,11 @@ def test_composite_score_of_a_specification(spark):
     got = {r["k"]: r["s"] for r in df.select("k", score.alias("s")).collect()}
     want = {1: 0.0, 2: 0.0, 3: 1.0, 4: (0.005 + 0 + 0.005 + 1.5 + 0.5 + 0.5) / (0.005 + 1 + 0.005 + 3 + 1 + 1), 5: (0.01 + 2.25 + 0.5) / (0.01 + 1000 + 2.25 + 0.5 + 1), 6: 0.0}
     assert got == {k: round(x, 6) for k, x in want.items()}
+
+
+def test_composite_scores_to_six_places(spark):
+    """The query's shares are doubles, as in its SQL: decimals would be cut at six places before they are weighed."""
+    con = duckdb.connect()
+    con.sql("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["spc_composite"](spark, "/root/testdata/sf0.01").select("p_partkey", "score").collect())
+    assert got == sorted(con.sql(ORACLES["spc_composite"]).select("p_partkey", "score").fetchall())

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of Latin and Russian letters, digits and underscores, of two characters or more."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-zА-Яа-я0-9_]+)"), F.lit(1))
-    return F.transform(F.filter(found, lambda t: F.char_length(t) > 1), F.lower)
+    plain = F.lower(F.translate(F.coalesce(c, F.lit("")), "\u0130\u212a", "  "))  # the only other characters whose small letter is one of these
+    return F.regexp_extract_all(plain, F.lit(r"([a-zа-я0-9_]{2,})"), F.lit(1))
 
 
 def compact(c: Column, most: int) -> Column:

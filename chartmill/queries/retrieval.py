@@ -18,8 +18,8 @@ def _queries(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("qid"), tokens(F.col("text")).alias("terms"))
 
 
-def _top(scores):
-    return R.ranked(scores, 8).select("qid", "doc_id", "rank")
+def _top(best):
+    return lambda spark, sf: best(_docs(spark, sf), _queries(spark, sf), 8).select("qid", "doc_id", "rank")
 
 
 def _vectors(spark, sf):
@@ -31,21 +31,23 @@ def _vectors(spark, sf):
 
 def _fused(spark, sf):
     d, q = _docs(spark, sf), _queries(spark, sf)
-    both = R.fuse([R.ranked(R.bm25_scores(d, q), 50), R.ranked(R.keyword_scores(d, q), 50)])
+    known = R.statistics(d)
+    both = R.fuse([R.bm25_top(d, q, 50, known=known), R.keyword_top(d, q, 50, known)])
     return R.ranked(both, 8).select("qid", "doc_id", "rank")
 
 
 def _metrics(spark, sf):
     d, q = _docs(spark, sf), _queries(spark, sf)
-    best = R.ranked(R.keyword_scores(d, q), 8)
-    truth = R.ranked(R.bm25_scores(d, q), 3).select("qid", "doc_id")
+    known = R.statistics(d)
+    best = R.keyword_top(d, q, 8, known)
+    truth = R.bm25_top(d, q, 3, known=known).select("qid", "doc_id")
     return R.metrics(best, truth, CUTS).select("qid", "k", "hit", *(F.round(c, 4).alias(c) for c in ("recall", "precision", "mrr", "ndcg")))
 
 
 QUERIES = {
-    "ret_keyword": lambda spark, sf: _top(R.keyword_scores(_docs(spark, sf), _queries(spark, sf))),
-    "ret_bm25": lambda spark, sf: _top(R.bm25_scores(_docs(spark, sf), _queries(spark, sf))),
-    "ret_tfidf": lambda spark, sf: _top(R.tfidf_scores(_docs(spark, sf), _queries(spark, sf))),
+    "ret_keyword": _top(R.keyword_top),
+    "ret_bm25": _top(R.bm25_top),
+    "ret_tfidf": _top(R.tfidf_top),
     "ret_cosine": _vectors,
     "ret_fusion": _fused,
     "ret_metrics": _metrics,

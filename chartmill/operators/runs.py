@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartmill.operators.lineage import numbered
@@ -59,36 +63,58 @@ def compare_runs(left: DataFrame, right: DataFrame, key: str, score: str, failed
     )
 
 
-#: Of the draws: a prime below 2^31, so that squares stay within 63 bits. Values that may be broadcast.
-PRIME, BROADCAST = 2_147_483_647, 1_000_000
+#: Of the draws: a prime below 2^31, so that squares stay within 63 bits. Values that each task may get (a packed row at least), values of a packed row, and replicates of a task.
+PRIME, BROADCAST, PACK, REPLICATES = 2_147_483_647, 67_108_864, 65_536, 20
 
 
-def drawn(replicate: Column, place: Column, n: Column) -> Column:
-    """A number from 0 to n - 1, the same in every run: a few squares modulo a prime of a replicate's number and a place in it."""
-    y = (replicate * 48271 + place * 40692 + 12345) % PRIME
-    for more in (F.lit(7), replicate, place):
-        y = (y * y + more) % PRIME
-    return y % n
+def drawn(replicate: int, place, n: int):
+    """Numbers from 0 to n - 1 for an array of places, the same in every run: a few squares modulo a prime of a replicate's number and a place in it."""
+    p = np.uint64(PRIME)
+    rest = lambda x, m: x - x // m * m  # noqa: E731  (faster than % on arrays)
+    y = rest(np.uint64(replicate * 48271 + 12345) + rest(place, p) * np.uint64(40692), p)
+    for more in (np.uint64(7), np.uint64(replicate), place):
+        y = rest(y * y + more, p)
+    return rest(y, np.uint64(n))
 
 
 def bootstrap_interval(df: DataFrame, value: str, order: list[str], samples: int = 1000) -> DataFrame:
     """One row (n, mean, low, high): the mean of the values and the 95 % interval of the means of ``samples`` resamplings with replacement.
 
-    Values are numbered in ``order``; a replicate draws n of these numbers. Draws are counted by replicate and number before they meet the values, so no
-    replicate and no value is bound to one task. Up to :data:`BROADCAST` values go to the draws instead. Nulls are no values.
+    Values are numbered in ``order``; a replicate draws n of these numbers. No draw is a row: a task holds packed values, :data:`BROADCAST` at most,
+    and sums what some replicates draw of them. More values are held in parts, and each part makes the draws anew. Nulls are no values.
     """
     spark = df.sparkSession
     values, n = numbered(df.where(F.col(value).isNotNull()).select(*order, F.col(value).cast("double").alias("_v")).orderBy(*order), "_place")
     if not n:
         return spark.createDataFrame([(0, None, None, None)], "n long, mean double, low double, high double")
-    each = spark.range(n * samples).select(F.floor(F.col("id") / n).alias("_b"), (F.col("id") % n).alias("_i"))
-    draws = each.select("_b", drawn(F.col("_b"), F.col("_i"), F.lit(n)).alias("_place"))
-    if n <= BROADCAST:
-        met = draws.join(F.broadcast(values.select("_place", "_v")), "_place").withColumn("_n", F.lit(1))
-    else:
-        met = draws.groupBy("_b", "_place").agg(F.count("*").alias("_n")).join(values.select("_place", "_v"), "_place")
+    held, pack, each = max(BROADCAST, PACK), PACK, REPLICATES
+    packed = values.groupBy(F.floor(F.col("_place") / pack).alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_place", "_v"))).alias("_p"))
+    of_task = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // each))).alias("_g")
+    rows = packed.select(F.floor(F.col("_at") * pack / held).alias("_part"), "_at", F.col("_p._v").alias("_v")).select("*", of_task)
+
+    def sums(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, group = key[0].as_py(), key[1].as_py()
+        first = -(-part * held // pack) * pack
+        until = min(-(-(part + 1) * held // pack) * pack, n)
+        mine = np.zeros(until - first)
+        for batch in batches:
+            for at, vs in zip(batch["_at"].to_pylist(), batch["_v"]):
+                mine[at * pack - first : at * pack - first + len(vs)] = vs.values.to_numpy()
+        replicates, step = range(group * each, min(samples, (group + 1) * each)), 16_384  # arrays that stay in the cache
+        totals = [0.0] * len(replicates)
+        for begin in range(0, n, step):
+            places = np.arange(begin, min(begin + step, n), dtype=np.uint64)
+            for k, b in enumerate(replicates):
+                at = drawn(b, places, n).astype(np.int64)
+                if len(mine) < n:
+                    at = at[(at >= first) & (at < until)] - first
+                totals[k] += mine.take(at).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(list(replicates), pa.int64()), pa.array(totals, pa.float64())], ["_b", "_s"])
+
+    sums.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    met = rows.groupBy("_part", "_g").applyInArrow(sums, "_b long, _s double")
     means = F.array_sort(F.collect_list("_m"))  # one number for each replicate
-    interval = met.groupBy("_b").agg((F.sum(F.col("_v") * F.col("_n")) / n).alias("_m")).agg(means.alias("_ms"))
+    interval = met.groupBy("_b").agg((F.sum("_s") / n).alias("_m")).agg(means.alias("_ms"))
     mean = values.agg(F.round(F.avg("_v"), 6).alias("mean"))
     at = lambda share: F.round(F.col("_ms")[int(share * (samples - 1))], 6)
     return interval.join(F.broadcast(mean)).select(F.lit(n).cast("long").alias("n"), "mean", at(0.025).alias("low"), at(0.975).alias("high"))

@@ -93,3 +93,15 @@ def test_bootstrap(spark, monkeypatch):
         monkeypatch.setattr(R, "BROADCAST", bound)
         assert tuple(R.bootstrap_interval(df, "v", ["k"], 200).select("mean", "low", "high").first()) == want
     assert tuple(R.bootstrap_interval(df.limit(0), "v", ["k"], 200).first()) == (0, None, None, None)
+
+
+def test_bootstrap_of_values_in_parts(spark, monkeypatch):
+    """Values that no task holds as a whole: rows of two values, parts of three and of four."""
+    values = [((7 * k) % 11) / 8 for k in range(23)]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    means = sorted(sum(values[draw(b, i, 23)] for i in range(23)) / 23 for b in range(50))
+    want = (23, round(sum(values) / 23, 6), round(means[int(0.025 * 49)], 6), round(means[int(0.975 * 49)], 6))
+    for part in (3, 4):
+        for name, size in (("PACK", 2), ("BROADCAST", part), ("REPLICATES", 7)):
+            monkeypatch.setattr(R, name, size)
+        assert tuple(R.bootstrap_interval(df, "v", ["k"], 50).first()) == want

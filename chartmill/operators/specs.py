@@ -10,25 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def depth(spec: Column) -> Column:
+    """Levels of a JSON text that hold something: brackets within brackets, without those in strings and without empty ones."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(spec, r"\\.", ""), '"[^"]*"', "s"), r"\s+", "")
+    marks = F.split(F.regexp_replace(F.regexp_replace(bare, r"\{\}|\[\]", ""), r"[^\[\]{}]+", ""), "")
+    step = lambda a, c: F.when(c.isin("{", "["), F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).when(c.isin("}", "]"), F.struct((a["now"] - 1).alias("now"), a["most"].alias("most"))).otherwise(a)
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
 def nodes(specs: DataFrame, key: str, spec: str, most_levels: int = 32) -> DataFrame:
     """(key, path, name, leaf, value): all values of the trees below the root; places in lists are written [*]; ``value`` is JSON text.
 
-    ``leaf`` holds for scalars and for empty lists and objects. A tree of more than ``most_levels`` levels is an error.
+    ``leaf`` holds for scalars and for empty lists and objects. A tree of more than ``most_levels`` levels is an error. Specifications are shuffled by their key,
+    and walked where they are in one pass: at each level what holds something stays as it is and is opened beside it.
     """
-    level = specs.select(key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(spec).alias("v"))
-    spark, out = specs.sparkSession, None
-    for _ in range(most_levels):
-        kind, text = F.schema_of_variant("v"), F.to_json("v")
-        holder = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~text.isin("{}", "[]")
-        here = level.where("v is not null").select(key, "path", "name", (~holder).alias("leaf"), text.alias("value"))
-        out = here if out is None else out.unionByName(here)
-        inner = level.where("v is not null").where(holder)
-        if inner.isEmpty():
-            return out.where("path <> '$'")
-        below = spark.sql(f"SELECT t.`{key}`, t.path, t.name, x.key AS _step, x.value AS v FROM {{inner}} t, LATERAL variant_explode(t.v) x", inner=inner)
+    spark, valid = specs.sparkSession, specs.where(F.try_parse_json(spec).isNotNull())
+    levels = valid.agg(F.coalesce(F.max(depth(F.col(spec))), F.lit(0))).first()[0]
+    if levels >= most_levels:
+        raise ValueError(f"a specification has more than {most_levels} levels")
+    walked = specs.select(key, spec).repartition(key).select(key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.try_parse_json(spec).alias("v"), F.lit(True).alias("fresh")).where("v is not null")
+    for _ in range(levels):
+        kind = F.schema_of_variant("v")
+        holder = F.col("fresh") & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        twice = walked.withColumn("_open", F.explode(F.when(holder, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        opened = spark.sql("SELECT t.*, x.key AS _step, x.value AS _v FROM {twice} t, LATERAL variant_explode_outer(CASE WHEN t._open THEN t.v END) x", twice=twice).where("not _open or _v is not null")
         step = F.when(F.col("_step").isNull(), "[*]").otherwise(F.concat(F.lit("."), F.col("_step")))
-        level = below.select(key, F.concat("path", step).alias("path"), F.coalesce("_step", "name").alias("name"), "v")
-    raise ValueError(f"a specification has more than {most_levels} levels")
+        below = lambda new, old: F.when(F.col("_open"), new).otherwise(F.col(old)).alias(old)
+        walked = opened.select(key, below(F.concat("path", step), "path"), below(F.coalesce("_step", "name"), "name"), below(F.col("_v"), "v"), F.col("_open").alias("fresh"))
+    kind, text = F.schema_of_variant("v"), F.to_json("v")
+    holder = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~text.isin("{}", "[]")
+    return walked.where("path <> '$'").select(key, "path", "name", (~holder).alias("leaf"), text.alias("value"))
 
 
 def items(tree: DataFrame, key: str, item: Column, where: Column | None = None, weight: Column | None = None) -> DataFrame:
@@ -50,7 +61,9 @@ def f_beta(keys: DataFrame, key: str, reference: DataFrame, guess: DataFrame, be
 
     A guess without items has precision 1, a reference without items recall 1; two of them have no Jaccard similarity (null).
     """
-    both = reference.select(key, "item", F.col("w").alias("r")).join(guess.select(key, "item", F.col("w").alias("g")), [key, "item"], "full")
+    side = lambda df, r, g: df.select(key, "item", r.cast("double").alias("r"), g.cast("double").alias("g"))
+    either = side(reference, F.col("w"), F.lit(None)).unionByName(side(guess, F.lit(None), F.col("w")))
+    both = either.groupBy(key, "item").agg(F.sum("r").alias("r"), F.sum("g").alias("g"))
     sums = both.groupBy(key).agg(
         F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum(F.least(F.coalesce("r", F.lit(0.0)), F.coalesce("g", F.lit(0.0)))).alias("both"),
         F.count_if(F.col("r").isNotNull() & F.col("g").isNotNull()).alias("shared"), F.count("*").alias("all"),

@@ -230,3 +230,19 @@ def test_composite_scores_to_six_places(spark):
     con.sql("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
     got = sorted(tuple(r) for r in QUERIES["spc_composite"](spark, "/root/testdata/sf0.01").select("p_partkey", "score").collect())
     assert got == sorted(con.sql(ORACLES["spc_composite"]).select("p_partkey", "score").fetchall())
+
+
+def test_trees_of_odd_specs_in_one_pass(spark):
+    """Brackets and quotes in strings, empty lists, nulls and deep trees; the rows of a specification are shuffled once, before they are opened."""
+    from chartmill.operators import specs as S
+
+    deep = "[" * 30 + "1" + "]" * 30
+    rows = [(1, r'{"a": "[{\"[[", "b": [[], {"c": null}]}'), (2, deep), (3, "[[[" * 40), (4, None), (5, r'{"q": "\\", "r": [{"s": 1}]}')]
+    tree = S.nodes(spark.createDataFrame(rows, "k int, spec string"), "k", "spec")
+    got = sorted((r["k"], r["path"], r["leaf"]) for r in tree.collect() if r["k"] != 2)
+    assert got == [(1, "$.a", True), (1, "$.b", False), (1, "$.b[*]", False), (1, "$.b[*]", True), (1, "$.b[*].c", True), (5, "$.q", True), (5, "$.r", False), (5, "$.r[*]", False), (5, "$.r[*].s", True)]
+    assert [r["value"] for r in tree.where("k = 2 and leaf").collect()] == ["1"] and tree.where("k = 2").count() == 30
+    items = S.items(tree, "k", S.path_item())
+    assert items._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        S.nodes(spark.createDataFrame([(1, "[" * 32 + "1" + "]" * 32)], "k int, spec string"), "k", "spec")

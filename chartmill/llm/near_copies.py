@@ -9,8 +9,10 @@ finds all links; SimHash finds most, and a prefix filter the rest:
    share a shingle among the first n - ceil(SHARE n) + 1 of each. The order here is by a table of counts of a fixed size, so that common
    lines come last; counts that share a cell only cost time. Every candidate that isn't already connected is compared by its whole sets.
 
-The nodes of a shared shingle are compared with one leader and the connected ones go together; only what is then still apart is
-compared pair by pair, in salted blocks. A large group of near copies thus costs stars and not all of its pairs.
+Shingles that the same nodes share count once: whichever of them is taken, the pairs are the same. The nodes of a shared shingle are compared
+with one leader and the connected ones go together; only what is then still apart is compared pair by pair, in salted blocks. A pair is a row
+only if the sketches of its sets allow the similarity: a bit of a sketch tells whether an odd number of shingles falls on it, so two sets
+differ in at least as many shingles as their sketches in bits. A large group of near copies thus costs stars and its links, not all of its pairs.
 
 Defined cases: texts without words (or null) have the empty set and are one node; texts shorter than a shingle have their whole sequence as their only
 shingle; repeated rows are copies; a null doc_id is kept only if all of its component's ids are null; columns are unchanged.
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, blocks, discard, durable, release, words_of, written
+from .common import beside, blocks, discard, durable, release, sized, words_of, written
 from .components import connected_components
 from .simhash import _LOWER, link_edges, row_check, row_key, rows_of
 from .substring import hashes_of
@@ -33,6 +35,10 @@ SHARE = (4, 5)
 #: Cells of the table of counts, and cells of a part of it in the sum; characters hashed at once; nodes of a block in the comparison of the rest.
 CELLS, PART, BLOCK_CHARS, BLOCK = 1 << 20, 1 << 16, 1_000_000, 512
 RADIUS = 3
+#: 64-bit parts of a sketch.
+SKETCH = 8
+#: Rows of a table that is broadcast.
+SENT = 200_000
 
 
 def shingle_sets(texts: list[str | None], size: int):
@@ -72,6 +78,12 @@ def simhash_of(found: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0]
 
 
+def sketch_of(found: np.ndarray) -> np.ndarray:
+    """A bit for each cell on which an odd number of the hashes falls."""
+    cells = ((found * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * SKETCH) & 1 == 1, bitorder="little").view(np.int64)
+
+
 def cells_of(found: np.ndarray) -> np.ndarray:
     return ((found * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
 
@@ -100,7 +112,7 @@ def common_counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, k, k2, node (a hash of the set), n (its size), its SimHash and the shingles of its prefix in the common order."""
+    """doc_id, k, k2, node (a hash of the set), n (its size), its SimHash, the shingles of its prefix in the common order and its sketch."""
     from xxhash import xxh64_intdigest
 
     counts = docs.sparkSession.sparkContext.broadcast(common_counts(docs, size))
@@ -111,11 +123,11 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
         for found in shingle_sets(batch.column("text").to_pylist(), size):
             n = len(found)
             order = np.argsort(counts.value[cells_of(found)], kind="stable")[: n - -(-up * n // down) + 1]
-            out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, simhash_of(found).view(np.int64), found[order].view(np.int64)))
-        return [[o[i] for o in out] for i in range(4)]
+            out.append((np.uint64(xxh64_intdigest(found.tobytes(), 7)).view(np.int64), n, simhash_of(found).view(np.int64), found[order].view(np.int64), sketch_of(found)))
+        return [[o[i] for o in out] for i in range(5)]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("k"), row_check().alias("k2"))
-    return beside(rows, ["doc_id", "k", "k2"], {"node": "long", "n": "long", "fp": "long", "prefix": "array<long>"}, sets)
+    return beside(rows, ["doc_id", "k", "k2"], {"node": "long", "n": "long", "fp": "long", "prefix": "array<long>", "sketch": "array<long>"}, sets)
 
 
 def fits(a, b):
@@ -125,23 +137,36 @@ def fits(a, b):
     return (up + down) * (room + F.least(f"{a}.at", f"{b}.at")) >= up * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def near(a, b, n):
+    """Whether two sketches leave room for the similarity of sets of ``n`` shingles together."""
+    up, down = SHARE
+    apart = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH))
+    return (up + down) * apart <= (down - up) * n
+
+
+def distinct_groups(rest: DataFrame) -> DataFrame:
+    """``rest`` (key, x) with one key of those that the same nodes share; they are told by count and 128 bits."""
+    said = (F.count("*").alias("c"), F.bit_xor(F.xxhash64("x.node")).alias("s"), F.bit_xor(F.xxhash64(F.lit("key"), "x.node")).alias("s2"))
+    return rest.join(rest.groupBy("key").agg(*said).groupBy("c", "s", "s2").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar."""
     pairs = written(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "k", "k2")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "k", "k2"))
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["node"], "found": [f.view(np.int64) for f in shingle_sets(pdf["text"].tolist(), size)]})
 
-    texts = docs.select(row_key().alias("k"), row_check().alias("k2"), "text").join(wanted, ["k", "k2"]).dropDuplicates(["node"])
+    texts = docs.select(row_key().alias("k"), row_check().alias("k2"), "text").join(sized(wanted, SENT), ["k", "k2"]).dropDuplicates(["node"])
     sets = written(texts.select("node", "text").mapInPandas(run, "node long, found array<long>"))
     release(docs.sparkSession)  # the shuffled texts
     left, right = (sets.select(F.col("node").alias(c), F.col("found").alias(f"set_{c}")) for c in "ab")
     up, down = SHARE
     both = F.size(F.array_intersect("set_a", "set_b"))
     found = written(pairs.join(left, "a").join(right, "b").where((up + down) * both >= up * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
-    discard(sets, pairs)
+    discard(sets, pairs, wanted)
     return found
 
 
@@ -161,7 +186,11 @@ def components(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     member = F.struct("node", "n", "at")
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rest = written(entries.join(shared, "key").select("key", member.alias("x")))
+    every = written(entries.join(shared, "key").select("key", member.alias("x")))
+    release(docs.sparkSession)
+    rest = written(distinct_groups(every))
+    discard(every)
+    sketches = nodes.select("node", "sketch")
     for step in ("leaders", "pairs"):
         named = rest.join(members.withColumnRenamed("node", "_node"), F.col("x.node") == F.col("_node"), "left")
         rooted = named.select("key", "x", F.coalesce("root", "x.node").alias("root"))
@@ -173,13 +202,17 @@ def components(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             break
         if step == "leaders":
             pairs = apart.where(F.col("root") != F.col("own")).where(fits("x", "y"))
-            pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+            pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n")).distinct()
+            left, right = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+            pairs = pairs.join(left, "a").join(right, "b").where(near("sketch_a", "sketch_b", F.col("n"))).select("a", "b")
             rest = apart.where(F.col("x.node") != F.col("y.node")).select("key", "x")
         else:
             count = F.ceil(F.col("c") / BLOCK)
-            left = apart.select("key", "x", "root", F.pmod(F.xxhash64("x.node"), count).alias("block"))
-            right = apart.select("key", F.col("x").alias("y"), F.col("root").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
+            sketched = apart.join(sketches, F.col("x.node") == sketches["node"])
+            left = sketched.select("key", "x", "root", F.col("sketch").alias("sketch_x"), F.pmod(F.xxhash64("x.node"), count).alias("block"))
+            right = sketched.select("key", F.col("x").alias("y"), F.col("root").alias("own"), F.col("sketch").alias("sketch_y"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
             pairs = left.join(right, ["key", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("own"))).where(fits("x", "y"))
+            pairs = pairs.where(near("sketch_x", "sketch_y", F.col("x.n") + F.col("y.n")))
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         found = linked(pairs, docs, nodes, size)
         if not found.isEmpty():
@@ -193,8 +226,8 @@ def keep_one_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """One row of each component: that of the smallest doc_id, nulls last, and of its repeated rows any one. Columns unchanged."""
     prints = written(prefixes(docs, size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "k2")).alias("first")
-    firsts = prints.groupBy("node").agg(first, F.min(F.struct("n", "fp", "prefix")).alias("p"))
-    nodes = written(firsts.select("node", "first", "first.k", "first.k2", "p.n", "p.fp", "p.prefix"))
+    firsts = prints.groupBy("node").agg(first, F.min(F.struct("n", "fp", "prefix", "sketch")).alias("p"))
+    nodes = written(firsts.select("node", "first", "first.k", "first.k2", "p.n", "p.fp", "p.prefix", "p.sketch"))
     discard(prints)
     release(docs.sparkSession)
     members = components(docs, nodes.drop("first"), size)

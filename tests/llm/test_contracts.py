@@ -59,6 +59,22 @@ def test_near_copies_of_rows_alike_in_name(spark):
     assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(["Row(doc_id=1, text='a b c d e f', k='x')", "Row(doc_id=None, text='other', k='z')", "Row(doc_id=3, text=None, k=None)"])
 
 
+def test_a_group_of_similar_texts_makes_few_pairs(spark, monkeypatch):
+    """Sixty texts of one base, each with words of its own at three places: they share rare shingles, but no two reach the similarity."""
+    texts = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(100)]
+        for j in (5, 38, 71):
+            words[j + i % 20] = f"own{i}x{j}"
+        texts.append(" ".join(words))
+    rows, compared = [*enumerate(texts), (100, texts[7] + " more"), (101, texts[9] + " end of it")], near_copies.linked
+    made = []
+    monkeypatch.setattr(near_copies, "linked", lambda pairs, *rest: made.append(pairs.count()) or compared(pairs, *rest))
+    got = near_copies.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
+    assert sum(made) < 200
+
+
 def test_language_model_beats_the_base_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language_model.score_held_out(df).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartmill.operators import spec_checks as S
+from chartmill.operators.lineage import spread
 
 _TABLES = ("part", "orders")
 
@@ -27,7 +28,7 @@ SPEC = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {_sql(s)}" for i, s in e
 
 
 def _specs(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr(SPEC).alias("spec"))
+    return spread(spark.read.parquet(f"{sf}/part.parquet")).select("p_partkey", F.expr(SPEC).alias("spec"))
 
 
 def _repaired(spark, sf):

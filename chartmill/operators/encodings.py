@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chartmill.operators.lineage import spread
+
 ENCODING = "view int, channel string, field string, type string, aggregate string, bin string, time_unit string"
 TRANSFORM = "view int, kind string, field string, op string, as_field string, groupby array<string>, signature string"
 VIEW = "view int, mark string"
@@ -189,7 +191,8 @@ def matched(guesses: DataFrame, references: DataFrame, key: str, beta: float = 2
 
     The matching with x and y exchanged counts if its F is greater. ``pairs``: places in the arrays and the similarity.
     """
-    both = guesses.select(key, F.coalesce("encodings", F.array()).alias("_g")).join(references.select(key, F.coalesce("encodings", F.array()).alias("_r")), key)
+    left, right = (spread(side.select(key, F.coalesce("encodings", F.array()).alias(name)), key) for side, name in ((guesses, "_g"), (references, "_r")))
+    both = left.join(right, key)
     for name, exchange in (("plain", False), ("other", True)):
         both = both.withColumn(f"_{name}", best_first(F.col("_g"), F.col("_r"), lambda a, b, e=exchange: similarity(a, b, e)))
         total = F.aggregate(f"_{name}", F.lit(0), lambda s, p: s - p["less"])

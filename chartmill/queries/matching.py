@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartmill.operators import encodings as E
+from chartmill.operators.lineage import spread
 
 _X = """"x":{{"field":"{a}","type":"{t}"}}"""
 _Y = """"y":{{"aggregate":"{agg}","field":"size","type":"quantitative"}}"""
@@ -25,7 +26,7 @@ _GUESS = f"CASE p_partkey % 7 WHEN 0 THEN {_LAYERS} WHEN 1 THEN {_FACET} WHEN 2
 
 
 def _side(spark, sf, expression):
-    return E.extracted(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr(expression).alias("spec")), "spec")
+    return E.extracted(spread(spark.read.parquet(f"{sf}/part.parquet")).select("p_partkey", F.expr(expression).alias("spec")), "spec")
 
 
 def _encodings(spark, sf):

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chartmill.operators import spec_checks as S
+from chartmill.queries import matching, spec_checks
 
 
 def fixed(spark, *specs):
@@ -85,3 +87,11 @@ def test_draws_nothing(spark, mark, where, want):
     encoding = {"x": {"field": "v"}, "color": {"field": "k"}}
     assert S.draws_nothing({"mark": mark, "transform": [{"filter": where}], "encoding": encoding}, df) is want
     assert S.draws_nothing({"transform": [{"filter": where}], "encoding": encoding, "layer": [{"mark": "line"}, {"mark": mark}]}, df) is want
+
+
+def test_rows_of_a_small_file_are_worked_on_in_many_tasks(spark, tmp_path):
+    """A part takes little room in its file and much work after it, so no task may hold them all."""
+    spark.range(4000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "cast(1 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for query in (spec_checks._specs(spark, tmp_path), matching._side(spark, tmp_path, matching._GUESS), matching._matched(spark, tmp_path)):
+        held = [r["count"] for r in query.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 4000 and max(held) < 3000

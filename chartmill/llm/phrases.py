@@ -30,8 +30,8 @@ BLOCK = 2_000_000
 SLICE = 1 << 20
 #: Words, phrases and numbers that may be broadcast; larger tables are joined by shuffle.
 BROADCAST = 200_000
-#: Keys of one bucket, about.
-BUCKET = 1_000_000
+#: Keys of one bucket, about; parts in which the keys of a block are sorted.
+BUCKET, RANGES = 1_000_000, 16
 
 #: A-Z to a-z; every delimiter to a comma; tab to space.
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz ,,,,,,,,,")
@@ -189,7 +189,8 @@ def reduced(words: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[
 
 
 def phrase_counts(blocks: DataFrame, bits: int, buckets: int, least: int, parts: int) -> DataFrame:
-    """(a_id, b_id, c_id, n) of all pairs (a_id 0) and triples of at least ``least`` occurrences. ``blocks`` has the numbers of its words in ``ids``."""
+    """(a_id, b_id, c_id, n) of all pairs (a_id 0) and triples of at least ``least`` occurrences. ``blocks`` has the numbers of its words in ``ids``
+    and their number, the rare ones included, in ``vocabulary``."""
     shift = np.uint64(max(0, key_bits(bits) - bits_of(buckets - 1))) if buckets > 1 else None
 
     def deal(batches):
@@ -207,13 +208,16 @@ def phrase_counts(blocks: DataFrame, bits: int, buckets: int, least: int, parts:
                 three = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
                 two, three = two[two >= skip - 1], three[three >= skip - 2]
                 keys = [np.concatenate(x) for x in zip(pack(np.zeros(len(two), np.uint64), ids[two], ids[two + 1], bits), pack(ids[three], ids[three + 1], ids[three + 2], bits), strict=True)]
+                del ids, two, three
                 if not len(keys[0]):
                     continue
-                words, counts = reduced([mix(keys[0] ^ (keys[1] * np.uint64(Scramble.FACTORS[0]) if len(keys) > 1 else np.uint64(0))), *keys[1:]])
-                bucket = (words[0] >> shift).astype(np.int64) if shift is not None else np.zeros(len(counts), np.int64)
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=bucket[-1] + 1))
-                pieces = [packed([w[a:b] for w in words], counts[a:b], shift) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                yield request(row["block"].as_py(), bucket[edge[:-1]].tolist(), pieces)
+                keys[0] = mix(keys[0] ^ (keys[1] * np.uint64(Scramble.FACTORS[0]) if len(keys) > 1 else np.uint64(0)))
+                for own in ranges(keys, shift, buckets):
+                    words, counts = reduced(own)
+                    bucket = (words[0] >> shift).astype(np.int64) if shift is not None else np.zeros(len(counts), np.int64)
+                    edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=bucket[-1] + 1))
+                    pieces = [packed([w[a:b] for w in words], counts[a:b], shift) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                    yield request(row["block"].as_py(), bucket[edge[:-1]].tolist(), pieces)
 
     def count(bucket, _, payloads):
         mix = Scramble(key_bits(bits))
@@ -226,10 +230,23 @@ def phrase_counts(blocks: DataFrame, bits: int, buckets: int, least: int, parts:
         ids = [x.astype(np.int64) for x in unpack(words, bits)]
         yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(n.astype(np.int64))], ["a_id", "b_id", "c_id", "n"])
 
-    dealt = blocks.select("block", "context", "tokens", "at", "ids", F.size("words").alias("vocabulary")).mapInArrow(deal, REQUEST)
+    dealt = blocks.select("block", "context", "tokens", "at", "ids", "vocabulary").mapInArrow(deal, REQUEST)
     return by_bucket(dealt, parts, count, "a_id long, b_id long, c_id long, n long")
 
 
+def ranges(keys: list[np.ndarray], shift: np.uint64 | None, buckets: int):
+    """The keys in parts of whole buckets, ``RANGES`` at most: what sorting takes is held for one part, not for a block."""
+    parts = min(RANGES, buckets)
+    if parts < 2:
+        yield keys
+        return
+    part = (keys[0] >> (shift + np.uint64(bits_of(buckets // parts) - 1))).astype(np.uint8)
+    for k in range(parts):
+        own = part == k
+        if own.any():
+            yield [w[own] for w in keys]
+
+
 def packed(words: list[np.ndarray], counts: np.ndarray, shift: np.uint64 | None) -> bytes:
     """Keys (the first word without the bits that the bucket gives, in as few bytes as hold it), those that occur once before the others, then the others' counts."""
     once = counts == 1
@@ -274,7 +291,8 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, share: int
     buckets = 1 << bits_of(max(4 * parts, 2 * occurrences // BUCKET) - 1)
     found = own.select("block", "at", "lang", F.col("w.words").alias("word")).join(known.select("lang", "word", "id"), ["lang", "word"])
     per_block = found.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found")).select("block", F.col("found.at").alias("at"), F.col("found.id").alias("ids"))
-    counted = written(phrase_counts(blocks.join(per_block, "block"), bits, buckets, least, parts))
+    plain = blocks.select("block", "context", "tokens", F.size("words").alias("vocabulary"))  # the words themselves stay behind
+    counted = written(phrase_counts(plain.join(per_block, "block"), bits, buckets, least, parts))
 
     one = known.select("id", "lang", "word", F.col("n").alias("f"))
     two = counted.where("a_id = 0").select(F.col("b_id").alias("x"), F.col("c_id").alias("y"), "n")

@@ -155,6 +155,17 @@ def test_keys_go_there_and_back(bits):
     assert (mix.undo(mix(words[0])) == words[0]).all()
 
 
+@pytest.mark.parametrize("buckets", [1, 8, 512])
+def test_a_block_is_sorted_in_parts_of_whole_buckets(buckets):
+    keys = [np.random.default_rng(3).integers(0, 1 << 60, 50_000).astype(np.uint64), np.arange(50_000, dtype=np.uint64)]
+    shift = np.uint64(60 - (buckets.bit_length() - 1))
+    parts = list(phrases.ranges(keys, shift, buckets))
+    assert sorted(np.concatenate([p[1] for p in parts]).tolist()) == list(range(50_000))
+    assert max(len(p[0]) for p in parts) < 2 * 50_000 / min(phrases.RANGES, buckets) + 1
+    seen = [set((p[0] >> shift).tolist()) for p in parts]
+    assert sum(map(len, seen)) == len(set().union(*seen)) == buckets
+
+
 def test_radix_order():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 5, 500).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64) >> rng.integers(0, 60, 500).astype(np.uint64)]

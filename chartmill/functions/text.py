@@ -26,6 +26,12 @@ def plain_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-zа-яё0-9]+", " "))
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first ``n`` words of :func:`plain_words`; what follows them is not looked at."""
+    word, gap = "[a-zа-яё0-9]", "[^a-zа-яё0-9]"
+    return plain_words(F.regexp_extract(F.lower(c), rf"^{gap}*+((?:{word}++{gap}++){{0,{n - 1}}}+{word}*+)", 1))
+
+
 def chunk_lines(c: Column, lines: int) -> Column:
     """Arrays of so many lines of a text, joined."""
     all_ = F.split(c, "\n")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartmill.functions.text import plain_words
+from chartmill.functions.text import first_words
 from chartmill.operators.lineage import cut
 
 
 def duplicate_key(kind: Column, *texts: Column, words: int = 12) -> Column:
     """The type and the first words of the texts, in plain form."""
-    said = F.trim(F.concat_ws(" ", *(plain_words(F.coalesce(t, F.lit(""))) for t in texts)))
+    said = F.trim(F.concat_ws(" ", *(first_words(F.coalesce(t, F.lit("")), words) for t in texts)))
     return F.concat(F.coalesce(kind, F.lit("")), F.lit(":"), F.array_join(F.slice(F.split(said, " +"), 1, words), " "))
 
 
@@ -23,9 +23,7 @@ def first_family(text: Column, families: dict[str, str]) -> Column:
 def over_quota(df: DataFrame, key: str, order: list[str], quota: int, flag: str) -> DataFrame:
     """``flag``: the row is beyond the first ``quota`` rows of its key (rows without a key never are). Keys may hold any share of the rows: they
     are ranked in salted parts, of which each keeps ``quota`` candidates, and then among these."""
-    part = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct(*order).alias("_o")).withColumn("_s", salt_of("_o"))
-    least = part.withColumn("_r", F.row_number().over(Window.partitionBy("_key", "_s").orderBy("_o"))).where(F.col("_r") <= quota)
-    last = least.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_o"))).where(F.col("_r") == quota).select("_key", F.col("_o").alias("_last"))
+    last = cut(place_of_limit(df.select(key, F.struct(*order).alias("_o")), key, quota))
     return df.join(F.broadcast(last) if last.count() <= 1_000_000 else last, df[key] == F.col("_key"), "left").withColumn(flag, F.coalesce(F.struct(*order) > F.col("_last"), F.lit(False))).drop("_key", "_last")
 
 

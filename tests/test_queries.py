@@ -175,6 +175,30 @@ def test_quotas_of_hot_keys(spark):
     assert got.count() == 5000 and sorted(r["id"] for r in got.where("not over and key = 'hot'").collect()) == [3 * i for i in range(7)] and got.where("over and (key is null or key <> 'hot')").count() == 0
 
 
+@pytest.mark.parametrize("quota", [1, 7])
+def test_keys_are_made_twice_at_most(spark, quota):
+    from pyspark.sql import functions as F
+
+    from chartmill.operators.cleaning import over_quota
+
+    made = spark.sparkContext.accumulator(0)
+    key = F.udf(lambda i: made.add(1) or f"k{i % 10}", "string").asNondeterministic()
+    assert over_quota(spark.range(1000).withColumn("key", key("id")), "key", ["id"], quota, "over").where("not over").count() == 10 * quota
+    assert made.value <= 2000
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    from chartmill.functions.text import first_words, plain_words
+
+    texts = ["", " ", "a", "--A-b--", "Ёлка и ёж\nдва", "İstanbul \u212a x", "word " * 30, "x" * 5000, "\U0001f600a\U0001f600b", "a b c d", " ΑΣ a Σ"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 3, 12):
+        got = df.select(first_words(F.col("t"), n), F.array_join(F.slice(F.split(plain_words(F.col("t")), " +"), 1, n), " ")).collect()
+        assert all(a == b for a, b in got), n
+
+
 def test_split_ranks_each_stratum_in_hash_order(spark):
     """One large stratum, a single row and rows without a stratum, against a plain sort."""
     from hashlib import md5

@@ -241,7 +241,7 @@ def mark_repeats(docs: DataFrame, size: int = 35, shard_words: int = SHARD_WORDS
     seeds = written(_seeds(rows, size))
     twice = seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
     by_row = seeds.join(twice, "seed").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
-    kept = written(rows.join(by_row, "k", "left"))
+    kept = written(rows.join(by_row, "k", "left"), "zstd")  # whole texts, held to the end
     discard(seeds)
     release(spark)
     marked = kept.where("seeds is not null")

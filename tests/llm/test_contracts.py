@@ -42,6 +42,17 @@ def test_long_repeats_are_cut_into_pieces_and_shards(spark):
     assert got == {0: [(60, 5060)], 1: [(60, 5060)], 2: [(60, 3060)], 3: [], 4: [(60, 95)], 5: []}
 
 
+def test_whole_texts_that_stay_are_written_small(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(30)]
+    df = spark.createDataFrame([(k, t + " " + texts[0]) for k, t in enumerate(texts)], "doc_id long, text string")
+    made, write = [], substring.written
+    monkeypatch.setattr(substring, "written", lambda table, *codec: made.append(write(table, *codec)) or made[-1])
+    assert substring.remove_repeats(df).count() == 30
+    files = [f for t in made if "text" in t.columns for f in t.inputFiles()]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_bit_planes_abandon_columns():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**64, 1000, dtype=np.uint64)

@@ -9,10 +9,11 @@ finds all links; SimHash finds most, and a prefix filter the rest:
    share a shingle among the first n - ceil(SHARE n) + 1 of each. The order here is by a table of counts of a fixed size, so that common
    lines come last; counts that share a cell only cost time. Every candidate that isn't already connected is compared by its whole sets.
 
-Shingles that the same nodes share count once: whichever of them is taken, the pairs are the same. The nodes of a shared shingle are compared
-with one leader and the connected ones go together; only what is then still apart is compared pair by pair, in salted blocks. A pair is a row
-only if the sketches of its sets allow the similarity: a bit of a sketch tells whether an odd number of shingles falls on it, so two sets
-differ in at least as many shingles as their sketches in bits. A large group of near copies thus costs stars and its links, not all of its pairs.
+Shingles that the same nodes share count once: whichever of them is taken, the pairs are the same. The nodes of a shared shingle meet in a
+task (large groups in salted blocks, every pair of blocks by itself) and pairs are compared there, so no pair is ever a row: a task returns a
+spanning forest of what it links. That is done twice. At first the sketches alone decide: a bit of a sketch tells whether an odd number of
+shingles falls on it, so two sets differ in at least as many shingles as their sketches in bits; what they may link is confirmed by the
+whole sets. Then only nodes that still may have a link to another component meet once more, with their whole sets, which decide pair by pair.
 
 Defined cases: texts without words (or null) have the empty set and are one node; texts shorter than a shingle have their whole sequence as their only
 shingle; repeated rows are copies; a null doc_id is kept only if all of its component's ids are null; columns are unchanged.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,11 @@ from .substring import hashes_of
 
 #: Similarity from which texts are linked, as numerator and denominator.
 SHARE = (4, 5)
-#: Cells of the table of counts, and cells of a part of it in the sum; characters hashed at once; nodes of a block in the comparison of the rest.
-CELLS, PART, BLOCK_CHARS, BLOCK = 1 << 20, 1 << 16, 1_000_000, 512
+#: Cells of the table of counts, and cells of a part of it in the sum; characters hashed at once; nodes, and shingles, of a block in the comparison of the rest.
+CELLS, PART, BLOCK_CHARS, BLOCK, BLOCK_SHINGLES = 1 << 20, 1 << 16, 1_000_000, 512, 1_000_000
 RADIUS = 3
-#: 64-bit parts of a sketch.
-SKETCH = 8
+#: 64-bit parts of a small set's sketch; sets of more shingles than it has bits have one twice as long, and so on. Rows that a task gives out at once.
+SKETCH, ROWS = 8, 10_000
 #: Rows of a table that is broadcast.
 SENT = 200_000
 
@@ -79,9 +81,16 @@ def simhash_of(found: np.ndarray) -> np.uint64:
 
 
 def sketch_of(found: np.ndarray) -> np.ndarray:
-    """A bit for each cell on which an odd number of the hashes falls."""
-    cells = ((found * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
-    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * SKETCH) & 1 == 1, bitorder="little").view(np.int64)
+    """A bit for each cell on which an odd number of the hashes falls: as many cells as hashes or more, a power of two."""
+    bits = max(64 * SKETCH, 1 << max(len(found) - 1, 0).bit_length())
+    cells = ((found * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").view(np.int64)
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of the same set in half as many bits."""
+    half = len(sketch) // 2
+    return sketch[:half] ^ sketch[half:]
 
 
 def cells_of(found: np.ndarray) -> np.ndarray:
@@ -130,18 +139,120 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
     return beside(rows, ["doc_id", "k", "k2"], {"node": "long", "n": "long", "fp": "long", "prefix": "array<long>", "sketch": "array<long>"}, sets)
 
 
-def fits(a, b):
-    """Whether the first shingle that two prefixes share (here or elsewhere) leaves room for the similarity; columns node, n, at."""
-    up, down = SHARE
-    room = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return (up + down) * (room + F.least(f"{a}.at", f"{b}.at")) >= up * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
+def may_link(n: np.ndarray, at: np.ndarray, sketches: list[np.ndarray], apart):
+    """(i, others): for places i the places whose sketches, and the places ``at`` of the shingle that they share, leave room for the similarity.
 
-def near(a, b, n):
-    """Whether two sketches leave room for the similarity of sets of ``n`` shingles together."""
+    ``apart(i)`` gives the places that i has to be compared with; every pair of them is met at least once.
+    """
     up, down = SHARE
-    apart = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH))
-    return (up + down) * apart <= (down - up) * n
+    width = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for w in np.unique(width):  # sets of similar sizes have sketches of one length, or of one and its double
+        row = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = np.stack([sketches[k] if width[k] == w else folded(sketches[k]) for k in row]).view(np.uint64)  # numpy counts the bits of a signed number's absolute value
+        place = np.full(len(width), -1)
+        place[row] = np.arange(len(row))
+        for i in np.flatnonzero(width == w):
+            others = apart(i)
+            others = others[place[others] >= 0]
+            # what they share besides lies before the shingle in both, or after it
+            room = np.minimum(n[i] - at[i], n[others] - at[others]) + np.minimum(at[i], at[others])
+            others = others[(up + down) * room >= up * (n[i] + n[others])]
+            if len(others):
+                differ = np.bitwise_count(bits[place[others]] ^ bits[place[i]]).sum(1, dtype=np.int64)
+                others = others[(up + down) * differ <= (down - up) * (n[i] + n[others])]
+            if len(others):
+                yield i, others
+
+
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    up, down = SHARE
+    if len(one) > len(other):
+        one, other = other, one
+    at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    return (up + down) * int((other[at] == one).sum()) >= up * (len(one) + len(other))
+
+
+def whole_parts(batches):
+    """One record batch for each part (key, i, j) of a stream in their order."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        stops = [*(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(0)) + 1), batch.num_rows]
+        if held and (part[:, 0] != last).any():
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        for a, b in zip([0, *stops], stops):
+            if a:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = part[:, -1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def lists_in(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    column = batch.column(name)
+    values, stops = column.values.to_numpy(), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(stops[:-1], stops[1:])]
+
+
+def met(entries: DataFrame, parts, likely: bool = False) -> DataFrame:
+    """Pairs (a, b) of a spanning forest of what links the nodes of a key over their roots, or with ``likely`` the (key, node) that may have a link.
+
+    ``entries``: key, node, n, at, root, sketch, and for links by the whole sets (else the sketches decide) found; ``parts``: blocks of the key.
+    """
+    columns = ["key", "i", "j", "second", *(c for c in ("node", "n", "at", "root", "sketch", "found") if c in entries.columns)]
+    dealt = entries.withColumn("_own", F.pmod(F.xxhash64("node"), parts)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "second": (F.col("_own") > F.col("_other")).cast("int")}).select(*columns)
+    names = ["key", "node"] if likely else ["a", "b"]
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                x = p
+            return x
+
+        def links(part):
+            key, second, node, n, at = (part.column(c).to_numpy() for c in ("key", "second", "node", "n", "at"))
+            label = part.column("root").to_numpy().copy()
+            if parent:
+                label = np.array([root(r) for r in label.tolist()])
+            across, found, marked = second.any(), [f.view(np.uint64) for f in lists_in(part, "found")] if "found" in columns else None, np.zeros(len(node), bool)
+            if len(node) > 1 and (label != label[0]).any():
+                where = (lambda i: np.flatnonzero((label != label[i]) & (second != second[i]))) if across else (lambda i: np.flatnonzero(label != label[i]))
+                for i, others in may_link(n, at, lists_in(part, "sketch"), where):
+                    if likely:
+                        marked[i] = marked[others] = True
+                        continue
+                    while len(others):
+                        k = others[0]
+                        if found is not None and not similar(found[i], found[k]):
+                            others = others[1:]
+                            continue
+                        yield node[i], node[k]
+                        gone, stays = label[k], label[i]
+                        parent[int(gone)] = int(stays)
+                        label[label == gone] = stays
+                        others = others[label[others] != stays]
+            yield from zip(key[marked], node[marked])
+
+        held = []
+        for part in whole_parts(batches):
+            held += links(part)
+            if len(held) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names)
+
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def distinct_groups(rest: DataFrame) -> DataFrame:
@@ -150,10 +261,9 @@ def distinct_groups(rest: DataFrame) -> DataFrame:
     return rest.join(rest.groupBy("key").agg(*said).groupBy("c", "s", "s2").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
-    pairs = written(pairs.distinct())
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "k", "k2"))
+def whole_sets(chosen: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, found) of the chosen nodes: all their shingles."""
+    wanted = written(chosen.distinct().join(nodes, "node").select("node", "k", "k2"))
 
     def run(batches):
         for pdf in batches:
@@ -162,11 +272,19 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> Da
     texts = docs.select(row_key().alias("k"), row_check().alias("k2"), "text").join(sized(wanted, SENT), ["k", "k2"]).dropDuplicates(["node"])
     sets = written(texts.select("node", "text").mapInPandas(run, "node long, found array<long>"))
     release(docs.sparkSession)  # the shuffled texts
+    discard(wanted)
+    return sets
+
+
+def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar."""
+    pairs = written(pairs.distinct())
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, size)
     left, right = (sets.select(F.col("node").alias(c), F.col("found").alias(f"set_{c}")) for c in "ab")
     up, down = SHARE
     both = F.size(F.array_intersect("set_a", "set_b"))
     found = written(pairs.join(left, "a").join(right, "b").where((up + down) * both >= up * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
-    discard(sets, pairs, wanted)
+    discard(sets, pairs)
     return found
 
 
@@ -191,34 +309,30 @@ def components(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     rest = written(distinct_groups(every))
     discard(every)
     sketches = nodes.select("node", "sketch")
-    for step in ("leaders", "pairs"):
+    for step in ("sketches", "sets"):
         named = rest.join(members.withColumnRenamed("node", "_node"), F.col("x.node") == F.col("_node"), "left")
-        rooted = named.select("key", "x", F.coalesce("root", "x.node").alias("root"))
-        groups = rooted.groupBy("key").agg(F.min("x").alias("y"), F.min_by("root", "x").alias("own"), F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        groups = groups.where("lo <> hi").select("key", "y", "own", "c")  # the others are connected
+        rooted = named.select("key", "x.*", F.coalesce("root", "x.node").alias("root"))
+        groups = rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        groups = groups.where("lo <> hi").select("key", "c")  # the others are connected
         apart = written(rooted.join(groups, "key"))
-        discard(rest)
         if apart.isEmpty():
             break
-        if step == "leaders":
-            pairs = apart.where(F.col("root") != F.col("own")).where(fits("x", "y"))
-            pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n")).distinct()
-            left, right = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").where(near("sketch_a", "sketch_b", F.col("n"))).select("a", "b")
-            rest = apart.where(F.col("x.node") != F.col("y.node")).select("key", "x")
+        sketched, by_count = apart.join(sketches, "node"), F.ceil(F.col("c") / BLOCK)
+        if step == "sketches":
+            found = linked(met(sketched, by_count), docs, nodes, size)
         else:
-            count = F.ceil(F.col("c") / BLOCK)
-            sketched = apart.join(sketches, F.col("x.node") == sketches["node"])
-            left = sketched.select("key", "x", "root", F.col("sketch").alias("sketch_x"), F.pmod(F.xxhash64("x.node"), count).alias("block"))
-            right = sketched.select("key", F.col("x").alias("y"), F.col("root").alias("own"), F.col("sketch").alias("sketch_y"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
-            pairs = left.join(right, ["key", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("own"))).where(fits("x", "y"))
-            pairs = pairs.where(near("sketch_x", "sketch_y", F.col("x.n") + F.col("y.n")))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found = linked(pairs, docs, nodes, size)
+            likely = written(met(sketched, by_count, likely=True).distinct())
+            sizes = likely.join(nodes.select("node", "n"), "node").groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
+            sets = whole_sets(likely.select("node"), docs, nodes, size)
+            by_size = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+            found = written(met(sketched.drop("c").join(likely, ["key", "node"]).join(sizes, "key").join(sets, "node"), by_size).distinct())
+            discard(likely, sets)
+        discard(apart)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             members = durable(connected_components(edges))
         release(docs.sparkSession)
+    discard(rest)
     return members
 
 

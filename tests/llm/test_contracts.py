@@ -86,6 +86,56 @@ def test_a_group_of_similar_texts_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 200
 
 
+def test_links_that_sketches_leave_open_are_found_without_pairs_as_rows(spark, monkeypatch):
+    """Copies of three bases, some just above and some just below the similarity, in blocks of a few nodes and by sketches that tell nothing: the
+    components are those of all pairs, and no join makes pairs."""
+    rng, texts = np.random.default_rng(6), []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(120)]
+        for i in range(40):
+            own = list(words)
+            for at in rng.choice(120, 1 + i % 5, replace=False):
+                own[at] = f"own{base}x{i}x{at}"
+            texts.append(" ".join(own))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = sorted({root(i) for i in range(len(texts))})
+    df, met, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), near_copies.met, []
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+
+    def counted(*args, **kind):
+        got = met(*args, **kind)
+        made.append(got.count())
+        return got
+
+    monkeypatch.setattr(near_copies, "met", counted)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_each(df).collect()) == want and 3 < len(want) < 100
+    # the sets decide alone if neither fingerprints nor sketches have linked anything
+    monkeypatch.setattr(near_copies, "linked", lambda pairs, *rest: pairs.limit(0))
+    made.clear()
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_each(df).collect()) == want
+    assert made[-1] > 0
+
+
+def test_folded_sketches_are_those_of_fewer_cells():
+    rng = np.random.default_rng(7)
+    found = np.unique(rng.integers(0, 2**64, 1500, dtype=np.uint64))
+    sketch = near_copies.sketch_of(found)
+    other = near_copies.sketch_of(found[5:])
+    assert len(near_copies.sketch_of(found[:512])) == 8 and len(near_copies.sketch_of(found[:513])) == 16 and len(sketch) == 32
+    assert all(np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 5 for a, b in ((sketch, other), (near_copies.folded(sketch), near_copies.folded(other))))
+    assert near_copies.similar(found, found[300:]) and not near_copies.similar(found, found[301:])
+
+
 def test_language_model_beats_the_base_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language_model.score_held_out(df).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()

@@ -160,27 +160,32 @@ class Gru:
 
     def train(self, texts: list[np.ndarray], rate: float = 0.05, streams_of: int = 2048, most: int = 512) -> int:
         """Truncated backpropagation through the texts, laid end to end in streams of about ``streams_of`` tokens (``most`` streams at most);
-        the state is carried from window to window."""
+        the state is carried from window to window. A longer text is learned in pieces of so many tokens, which lie in any streams: each starts
+        from the word before it and an empty state, so that the streams end together and no window is left to a few long texts."""
         w, s = self.words, self.words.shape
+        pieces = [(t, a) for t in texts for a in range(0, len(t), streams_of)]
         total = sum(map(len, texts))
         n = max(4, min(most, total // streams_of))
-        streams: list[list[np.ndarray]] = [[] for _ in range(n)]
+        streams: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(n)]
         lengths = np.zeros(n, np.int64)
-        for t in sorted(texts, key=len, reverse=True):
+        for t, a in sorted(pieces, key=lambda p: min(len(p[0]) - p[1], streams_of), reverse=True):
             k = int(lengths.argmin())
-            streams[k].append(t)
-            lengths[k] += len(t)
+            streams[k].append((t, a))
+            lengths[k] += min(len(t) - a, streams_of)
         longest = np.argsort(-lengths, kind="stable")  # streams that end first stand last, and leave
         streams, lengths = [streams[k] for k in longest], lengths[longest]
         width = int(lengths.max(initial=0)) + (-int(lengths.max(initial=0)) % s.window)
         ids = np.full((width, n), -1, np.int32)
-        inputs = np.full((width, n), w.start, np.int64)
+        inputs, fresh = np.full((width, n), w.start, np.int64), np.ones((width, n), bool)
         for k, parts in enumerate(streams):
             at = 0
-            for t in parts:
-                ids[at : at + len(t), k] = t
-                inputs[at + 1 : at + len(t), k] = w.inputs(t[:-1])
-                at += len(t)
+            for t, a in parts:
+                stop = min(a + streams_of, len(t))
+                head = int(a == 0)  # at the start of a text there is no word before
+                ids[at : at + stop - a, k] = t[a:stop]
+                inputs[at + head : at + stop - a, k] = w.inputs(t[a + head - 1 : stop - 1])
+                fresh[at + 1 : at + stop - a, k] = False
+                at += stop - a
         h = np.zeros((n, s.hidden), np.float32)
         grad, step = np.zeros_like(self.flat), np.empty_like(self.flat)
         views, at = {}, 0
@@ -189,7 +194,7 @@ class Gru:
             at += int(np.prod(shape))
         for t in range(0, width, s.window):
             active = int(np.searchsorted(-lengths, -t))
-            h = self._window(ids[t : t + s.window, :active], inputs[t : t + s.window, :active], h[:active], views)
+            h = self._window(ids[t : t + s.window, :active], inputs[t : t + s.window, :active], h[:active], views, fresh[t : t + s.window, :active])
             np.multiply(grad, grad, out=step)
             self.seen += step
             np.sqrt(self.seen, out=step)
@@ -199,9 +204,10 @@ class Gru:
             self.flat -= step
         return total
 
-    def _window(self, ids: np.ndarray, inputs: np.ndarray, h: np.ndarray, views: dict) -> np.ndarray:
+    def _window(self, ids: np.ndarray, inputs: np.ndarray, h: np.ndarray, views: dict, fresh: np.ndarray | None = None) -> np.ndarray:
+        """``fresh``: where the state before is empty (where none is given, at the starts of texts)."""
         p, steps, k = self.p, len(ids), h.shape[1]
-        first = (inputs == self.words.start).astype(np.float32)[:, :, None]
+        first = (inputs == self.words.start if fresh is None else fresh).astype(np.float32)[:, :, None]
         vectors = p["embed"][inputs]
         x = np.matmul(vectors.reshape(steps * h.shape[0], -1), p["wx"], out=self._room("x", steps * h.shape[0], 3 * k)).reshape(steps, h.shape[0], 3 * k)
         x += p["b"]

@@ -230,6 +230,29 @@ def test_language_model_trains_on_every_row(spark):
     assert all(any(40 <= n < 60 for n in part) for part in seen)
 
 
+def test_long_texts_are_learned_whole_and_in_full_windows(monkeypatch):
+    """A text of many streams' length is learned whole, in pieces that start from the word before, and leaves no windows of a few tokens."""
+    from chartmill.llm.gru import Gru, Shape, Vocabulary
+
+    vocabulary = Vocabulary(np.arange(50, dtype=np.uint64), np.arange(50, 0, -1.0), 3.0, Shape(hidden=4, embed=3, learned=30, classes=4, bands=2))
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 51, n).astype(np.int32) for n in (20_000, 300, 1, 2048, 2049, *[500] * 60)]
+    window, seen = Gru._window, []
+
+    def kept(self, ids, inputs, h, views, *more):
+        seen.append((ids.copy(), inputs.copy()))
+        return window(self, ids, inputs, h, views, *more)
+
+    monkeypatch.setattr(Gru, "_window", kept)
+    total = sum(map(len, texts))
+    assert Gru(vocabulary).train(texts) == total
+    live = [(ids[ids >= 0], inputs[ids >= 0]) for ids, inputs in seen]
+    before = lambda t: np.r_[vocabulary.start, vocabulary.inputs(t[:-1])]
+    want = Counter((w, b) for t in texts for w, b in zip(t.tolist(), before(t).tolist(), strict=True))
+    assert Counter((w, b) for ids, inputs in live for w, b in zip(ids.tolist(), inputs.tolist(), strict=True)) == want
+    assert len(seen) < 2 * 2048 / Shape().window + 1
+
+
 def test_gradients():
     from chartmill.llm.gru import Gru, Shape, Vocabulary
 

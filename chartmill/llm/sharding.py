@@ -40,8 +40,8 @@ def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int
     values = [c for c in groups.columns if c not in keys]
     first = rows.join(F.broadcast(groups.where(hot)), keys, "left")
     met = F.col("n").isNotNull()
-    apart = [F.when(met, F.xxhash64("row", F.lit(c)).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(f"_{c}") for c in keys]  # what is met goes anywhere
-    rest = groups.where(~hot).select(*(F.col(c).alias(f"_{c}") for c in keys), *(F.col(c).alias(f"_{c}") for c in values))
+    apart = [F.when(met, F.xxhash64("row", F.lit(c))).otherwise(F.col(c).cast("long")).alias(f"_{c}") for c in keys]  # what is met goes anywhere; a hash fits no narrower type
+    rest = groups.where(~hot).select(*(F.col(c).cast("long").alias(f"_{c}") for c in keys), *(F.col(c).alias(f"_{c}") for c in values))
     second = first.select("*", met.alias("_met"), *apart).join(rest, [f"_{c}" for c in keys], "left")
     return second.select(*rows.columns, *(F.when(F.col("_met"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in values))
 

@@ -202,6 +202,19 @@ def test_sharding_keeps_groups_together(spark):
     assert cut < 0.1 * at_random and sum(len(c) == 1 for c in small) > 0.9 * len(small)
 
 
+def test_sharding_moves_hot_groups(spark, monkeypatch):
+    rows = [(k, f"text of its own {k}") for k in range(3000)]
+    for g, n in enumerate([10] * 100 + [300, 320]):
+        rows += [(len(rows) + i, f"group {g}") for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(sharding.shard_documents(df).collect())  # all groups by join
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    placed, total = sharding._group_parts(df, 8)
+    moves = sharding.propagate(placed, total, 8)
+    assert moves.where("n > 20").count() and moves.where("n <= 20").count()  # hot ones and others
+    assert sorted(sharding.shard_documents(df).collect()) == want
+
+
 def test_chat_rows_that_tie_stay_turns(spark, tmp_path):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b <turn>"), (1, None, "system", None), (None, 1, None, "x" * 10001), (None, 1, "user", ""), (2, 5, "assistant", "é𝄞")]
     schema = "conv_id long, turn int, role string, text string, kind string, seq long"
